@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name → callable) and ORACLES (name → SQL).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("problems",)
 
 
 def _gather(attribute: str) -> dict:
