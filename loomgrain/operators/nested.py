@@ -24,6 +24,10 @@ _SCALAR = re.compile(r"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|n
 _PLAIN_ROOT = re.compile(r'[ \t\n\r]*\{[ \t\n\r]*"schema_?version"', re.IGNORECASE)
 
 
+#: Levels below which no triples are given; the tables of a shape lie far above.
+MAX_DEPTH = 96
+
+
 class NotJson(ValueError):
     """The text is not one complete JSON value."""
 
@@ -128,6 +132,11 @@ def triples(text: str, lists: frozenset[str] = frozenset()) -> Iterator[Triple]:
             stack.pop()
             counts.pop()
             continue
+        if len(stack) > MAX_DEPTH:  # far below any table: only the end of the value counts
+            if event in "{[":
+                stack.append((event, "", ()))
+                counts.append(-1)
+            continue
         if stack and stack[-1][0] == "[":
             counts[-1] += 1
             path, ordinals = stack[-1][1], (*stack[-1][2], counts[-1])
