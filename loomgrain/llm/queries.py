@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgrain.llm.encoding import encode
 from loomgrain.llm.leakage import find_matches, remove_affected
+from loomgrain.llm.selection import percentiles_by_day
 from loomgrain.llm.splitting import split_oversized
 from loomgrain.sources.tables import table
 
@@ -39,5 +41,23 @@ def p8_found(spark: SparkSession, where: str) -> DataFrame:
     return pieces.filter("piece_no = 0").select("doc_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_pieces)}
-ORACLES: dict[str, str] = {}
+def p3_percentiles(spark: SparkSession, where: str) -> DataFrame:
+    rows = table(spark, where, "ci_outcome_history").filter("id is not null")
+    fields = F.struct("loaded_at", "job_name", "platform", F.date_format("recorded_at", "yyyy-MM-dd").alias("day"), "duration_ms")
+    once = rows.select("id", fields.alias("r")).groupBy("id").agg(F.min("r").alias("r")).select("r.*")
+    return percentiles_by_day(once, ["job_name", "platform"], "day", "duration_ms")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_percentiles, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_pieces)}
+ORACLES: dict[str, str] = {
+    "p3_percentiles": """
+with once as (select id, arg_min(struct_pack(j := job_name, f := platform, d := strftime(recorded_at, '%Y-%m-%d'), v := duration_ms), loaded_at) r from ci_outcome_history group by id),
+r as (select r.j as job_name, r.f as platform, r.d as day, r.v as v from once where r.v is not null),
+pcts as (select unnest([50, 90, 95, 99]) as p),
+s as (select 'day' as scope, job_name, platform, day, v, row_number() over (partition by job_name, platform, day order by v) k, count(*) over (partition by job_name, platform, day) n from r
+      union all
+      select 'all', job_name, platform, null, v, row_number() over (partition by job_name, platform order by v), count(*) over (partition by job_name, platform) from r)
+select scope, job_name, platform, day, cast(p as bigint) as p, v as value, n, cast(0 as bigint) as rank_error
+from s, pcts where k = greatest(1, (n * p + 99) // 100)
+""",
+}
