@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrain.llm.confusables import normalize_text, spelled_files
 from loomgrain.llm.encoding import encode
 from loomgrain.llm.leakage import find_matches, remove_affected
 from loomgrain.llm.selection import percentiles_by_day
@@ -14,6 +15,16 @@ from loomgrain.llm.splitting import split_oversized
 from loomgrain.sources.tables import table
 
 
+def p1_found(spark: SparkSession, where: str) -> DataFrame:
+    return spelled_files(table(spark, where, "transactions"), table(spark, where, "project_files"))
+
+
+def p1_normalized(spark: SparkSession, where: str) -> DataFrame:
+    """Every distinct stored entity with the form that it shows."""
+    entities = table(spark, where, "transactions").select("entity").filter("entity is not null").distinct()
+    return normalize_text(entities, "entity", "visible_form")
+
+
 def p6_ids(spark: SparkSession, where: str) -> DataFrame:
     return encode(table(spark, where, "documents"))
 
@@ -48,7 +59,7 @@ def p3_percentiles(spark: SparkSession, where: str) -> DataFrame:
     return percentiles_by_day(once, ["job_name", "platform"], "day", "duration_ms")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_percentiles, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_normalized, p3_percentiles, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_pieces)}
 ORACLES: dict[str, str] = {
     "p3_percentiles": """
 with once as (select id, arg_min(struct_pack(j := job_name, f := platform, d := strftime(recorded_at, '%Y-%m-%d'), v := duration_ms), loaded_at) r from ci_outcome_history group by id),
