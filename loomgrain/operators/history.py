@@ -95,19 +95,21 @@ def revisions(files: DataFrame, half_life: float, min_revisions: int = MIN_REVIS
 
 
 def temporal_coupling(files: DataFrame, half_life: float = HALF_LIFE, min_shared: int = MIN_SHARED, min_revisions: int = MIN_REVISIONS, threshold: float = COUPLING_THRESHOLD) -> DataFrame:
-    """file_a < file_b, shared, score: the files that change together.
+    """file_a, file_b, shared, score: how far file_a changes together with file_b.
 
-    score = decayed weight of shared commits / decayed weight of the commits of either file. Pairs come
-    from an equality join on the commit, whose groups are at most max_files long, so no group's pairs
-    grow with the data; a pair's commits are aggregated on the map side first.
+    score = decayed weight of the shared commits / decayed weight of file_a's commits; a pair comes out in
+    each direction whose score is over the threshold. Pairs come from an equality join on the commit,
+    whose groups are at most max_files long, so no group's pairs grow with the data; a pair's commits are
+    aggregated on the map side first.
     """
     known = revisions(files, half_life, min_revisions)
     kept = files.join(known.select("file"), "file", "left_semi")
-    a, b = kept.select("commit_id", F.col("file").alias("file_a"), "ord"), kept.select("commit_id", F.col("file").alias("file_b"))
-    pairs = a.join(b, "commit_id").filter("file_a < file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("shared"), F.sum(decay(F.col("ord"), half_life)).alias("together")).filter(F.col("shared") >= min_shared)
-    wa, wb = known.select(F.col("file").alias("file_a"), F.col("weight").alias("weight_a")), known.select(F.col("file").alias("file_b"), F.col("weight").alias("weight_b"))
-    score = F.col("together") / (F.col("weight_a") + F.col("weight_b") - F.col("together"))
-    return pairs.join(wa, "file_a").join(wb, "file_b").select("file_a", "file_b", "shared", F.round(score, 6).alias("score")).filter(F.col("score") > threshold)
+    a, b = kept.select("commit_id", F.col("file").alias("first"), "ord"), kept.select("commit_id", F.col("file").alias("second"))
+    pairs = a.join(b, "commit_id").filter("first < second").groupBy("first", "second").agg(F.count("*").alias("shared"), F.sum(decay(F.col("ord"), half_life)).alias("together")).filter(F.col("shared") >= min_shared)
+    ways = F.array(F.struct(F.col("first").alias("file_a"), F.col("second").alias("file_b")), F.struct(F.col("second").alias("file_a"), F.col("first").alias("file_b")))
+    directed = pairs.select(F.explode(ways).alias("w"), "shared", "together").select("w.*", "shared", "together")
+    scored = directed.join(known.select(F.col("file").alias("file_a"), "weight"), "file_a")
+    return scored.select("file_a", "file_b", "shared", F.round(F.col("together") / F.col("weight"), 6).alias("score")).filter(F.col("score") > threshold)
 
 
 def couplings_of(coupling: DataFrame, changed: DataFrame, limit: int = 50) -> DataFrame:

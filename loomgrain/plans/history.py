@@ -91,9 +91,10 @@ sizes as (select commit_id, walk, count(*) n from f0 group by all having n betwe
 ords as (select commit_id, row_number() over (order by walk) - 1 as ord from sizes),
 files as (select commit_id, file, ord from f0 join ords using (commit_id)),
 rev as (select file, count(*) n, sum(pow(2.0, -ord / 100.0)) weight from files group by file having count(*) >= 5),
-pairs as (select a.file file_a, b.file file_b, count(*) shared, sum(pow(2.0, -a.ord / 100.0)) tog from files a join files b on a.commit_id = b.commit_id and a.file < b.file
+pairs as (select a.file f, b.file g, count(*) shared, sum(pow(2.0, -a.ord / 100.0)) tog from files a join files b on a.commit_id = b.commit_id and a.file < b.file
   where a.file in (select file from rev) and b.file in (select file from rev) group by all having count(*) >= 3),
-coup as (select file_a, file_b, shared, round(tog / (x.weight + y.weight - tog), 6) score from pairs join rev x on x.file = file_a join rev y on y.file = file_b)"""
+ways as (select f file_a, g file_b, shared, tog from pairs union all select g, f, shared, tog from pairs),
+coup as (select file_a, file_b, shared, round(tog / weight, 6) score from ways join rev on file = file_a)"""
 _TRENDS = "trends as (select l_suppkey as file, l_shipdate as recorded_at, round(sum(l_quantity) / 100, 4) as score from lineitem where l_shipdate >= '1998-01-01' and l_shipdate < '1998-02-01' group by all)"
 _V = "change_log commits symbols"
 ORACLES = {
