@@ -27,9 +27,8 @@ def _coupling(s, d, threshold=0.2):
 
 
 def _trends(s, d):
-    """Hotspot snapshots: a part's score on each shipping day of January 1998."""
-    lines = table(s, d, "lineitem").filter("l_shipdate >= '1998-01-01' and l_shipdate < '1998-02-01'")
-    return lines.groupBy(F.col("l_suppkey").alias("file"), F.col("l_shipdate").alias("recorded_at")).agg(F.round(F.sum("l_quantity") / 100, 4).alias("score"))
+    """Hotspot snapshots: a file's score on each day."""
+    return table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("file"), F.col("l_shipdate").alias("recorded_at")).agg(F.round(F.sum("l_quantity") / 100, 4).alias("score"))
 
 
 def latest_snapshot(s, d):
@@ -95,7 +94,7 @@ pairs as (select a.file f, b.file g, count(*) shared, sum(pow(2.0, -a.ord / 100.
   where a.file in (select file from rev) and b.file in (select file from rev) group by all having count(*) >= 3),
 ways as (select f file_a, g file_b, shared, tog from pairs union all select g, f, shared, tog from pairs),
 coup as (select file_a, file_b, shared, round(tog / weight, 6) score from ways join rev on file = file_a)"""
-_TRENDS = "trends as (select l_suppkey as file, l_shipdate as recorded_at, round(sum(l_quantity) / 100, 4) as score from lineitem where l_shipdate >= '1998-01-01' and l_shipdate < '1998-02-01' group by all)"
+_TRENDS = "trends as (select l_suppkey as file, l_shipdate as recorded_at, round(sum(l_quantity) / 100, 4) as score from lineitem group by all)"
 _V = "change_log commits symbols"
 ORACLES = {
     "decayed_frequency": with_sql(_V, f"+{_FREQ} select file, round(frequency, 6) frequency, changes from freq"),

@@ -27,7 +27,7 @@ def _semantic(s, d):
 
 def _trend_rows(s, d):
     """Snapshots of hotspot scores: one per shipping day."""
-    return table(s, d, "lineitem").filter("l_shipdate >= '1998-01-01' and l_shipdate < '1998-04-01'").select(F.col("l_shipdate").alias("recorded_at"), F.col("l_suppkey").alias("file"), (F.col("l_discount") / 10).alias("score"))
+    return table(s, d, "lineitem").select(F.col("l_shipdate").alias("recorded_at"), F.col("l_suppkey").alias("file"), (F.col("l_discount") / 10).alias("score"))
 
 
 def week_trend(s, d):
@@ -74,7 +74,7 @@ QUERIES = {
 
 
 _PCTS = ", ".join(f"list_sort(list(duration_ms))[cast(round({p / 100} * (count(*) - 1)) as bigint) + 1] as p{p}" for p in (50, 95, 99))
-_TREND = "trend as (select l_shipdate as recorded_at, l_suppkey as file, l_discount / 10 as score from lineitem where l_shipdate >= '1998-01-01' and l_shipdate < '1998-04-01')"
+_TREND = "trend as (select l_shipdate as recorded_at, l_suppkey as file, l_discount / 10 as score from lineitem)"
 _PROB = """diffs as (select diff_id from outcomes group by 1 order by max(recorded_at) desc, diff_id desc limit {n}),
 rows_ as (select * from outcomes where diff_id in (select diff_id from diffs)),
 prob as (select test_file, count(*) runs, count(*) filter (failed) fails, round((count(*) filter (failed) + 1) / (count(*) + 2), 6) probability from rows_ group by 1
