@@ -35,8 +35,9 @@ def line_count(c: Column) -> Column:
 def char_trigrams(c: Column) -> Column:
     """Distinct runs of three characters; empty for shorter texts. The text is cut into characters once, so cost follows its length."""
     chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    grams = F.transform(chars, lambda x, i: F.concat(x, F.get(chars, i + 1), F.get(chars, i + 2)))
-    return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
+    # the outer lambda binds the characters, which would else be cut anew for each of them
+    grams = F.transform(F.array(chars), lambda cs: F.transform(cs, lambda x, i: F.concat(x, F.get(cs, i + 1), F.get(cs, i + 2))))
+    return F.array_distinct(F.filter(F.get(grams, F.lit(0)), lambda g: g.isNotNull()))
 
 
 def code_words(c: Column) -> Column:
