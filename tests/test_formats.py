@@ -1,0 +1,146 @@
+"""Formats, sinks and text functions on small inputs."""
+
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomgrain.functions import text as t
+from loomgrain.operators import search
+from loomgrain.sources import formats as f
+from loomgrain.sources import sinks
+
+
+def one(spark, text):
+    return spark.createDataFrame([(1, text), (2, None), (3, "")], "k bigint, x string")
+
+
+def rows(df):
+    return sorted((tuple(r)[1:] for r in df.collect()), key=str)
+
+
+def test_lcov(spark):
+    text = "DA:1,1\nTN:\nSF:src/a.rs\nDA:1,5\nDA:2,0\nDA:x\nend_of_record\nSF:b.rs\nDA:3,1\n"
+    assert rows(f.lcov(one(spark, text), "k", "x")) == [("b.rs", 3, 1), ("src/a.rs", 1, 5), ("src/a.rs", 2, 0)]
+
+
+def test_numstat(spark):
+    text = "3\t1\tsrc/a.rs\0-\t-\timg.png\x002\t2\t\0old.rs\0new.rs\0"
+    assert rows(f.numstat(one(spark, text), "k", "x")) == [("img.png", None, None), ("new.rs", 2, 2), ("src/a.rs", 3, 1)]
+
+
+def test_env(spark):
+    assert rows(f.env_declarations(one(spark, "# c\nA=1\nexport B_2=\n=x\n\n A = 2"), "k", "x")) == [("A", True), ("B_2", False)]
+    code = 'env::var("A") os.getenv("B") process.env.C process.env["D"] os.environ["A"]'
+    assert rows(f.env_references(one(spark, code), "k", "x")) == [("A",), ("B",), ("C",), ("D",)]
+
+
+def test_build_files(spark):
+    assert rows(f.dockerfile(one(spark, "FROM --platform=x rust:1 AS b\nexpose 80\nFROM alpine"), "k", "x")) == [("image", "alpine"), ("image", "rust:1"), ("port", "80")]
+    assert rows(f.makefile(one(spark, "X := 1\nall: a b\n\techo 1\n\techo 2\nt:\n\trun"), "k", "x")) == [("all", 1, "echo 1"), ("all", 2, "echo 2"), ("t", 1, "run")]
+    assert rows(f.terraform(one(spark, 'resource "aws_s3" "b" {\n}\n'), "k", "x")) == [("aws_s3", "b")]
+
+
+def test_policies(spark):
+    text = 'permit(principal == User::"a", action in [Action::"read"], resource) when { true };\nforbid(principal, action, resource);'
+    assert rows(f.cedar(one(spark, text), "k", "x")) == [("forbid", "*", "*", "*", False), ("permit", 'User::"a"', 'Action::"read"', "*", True)]
+
+
+def test_trees(spark):
+    api = json.dumps({"paths": {"/a": {"get": {"operationId": "ga"}, "parameters": []}, "/b": {"post": {}}}})
+    assert rows(f.openapi(one(spark, api), "k", "x")) == [("/a", "GET", "ga"), ("/b", "POST", None)]
+    osv = json.dumps({"id": "O1", "affected": [{"package": {"name": "p", "ecosystem": "e"}, "ranges": [{"events": [{"introduced": "0"}, {"fixed": "2"}]}]}]})
+    assert rows(f.osv(one(spark, osv), "k", "x")) == [("O1", "p", "e", "0", "2")]
+    ci = json.dumps({"jobs": {"t": {"steps": [{"run": "a"}, {"uses": "b"}, "checkout", {"run": {"command": "c"}}]}}})
+    assert rows(f.ci_jobs(one(spark, ci), "k", "x", "github")) == [("t", 0, "a"), ("t", 1, "b"), ("t", 2, "checkout"), ("t", 3, "c")]
+    assert rows(f.ci_jobs(one(spark, json.dumps({"stages": [], "u": {"script": ["x"]}})), "k", "x", "gitlab")) == [("u", 0, "x")]
+    assert rows(f.openslo(one(spark, json.dumps({"kind": "SLO", "metadata": {"name": "n"}, "spec": {"service": "s"}})), "k", "x")) == [("SLO", "n", "s")]
+    assert rows(f.openapi(one(spark, "{not json"), "k", "x")) == []
+
+
+PYTHON = """
+import os
+from a.b import c
+
+class K:
+    def m(self, x):
+        if x and y:
+            for i in x:
+                g(i)
+
+@app.get("/x")
+def handler():
+    return K().m(1)
+
+def main(): pass
+"""
+
+
+def test_python_sources(spark):
+    out = {r.name: r for r in f.python_symbols(one(spark, PYTHON), "k", "x").collect()}
+    assert set(out) == {"K", "K.m", "handler", "main"}
+    assert (out["K.m"].cyclomatic, out["K.m"].cognitive) == (4, 4)
+    assert out["handler"].entrypoint == "HANDLER" and out["main"].entrypoint == "ENTRYPOINT"
+    assert ("K.m", "g", 9) in rows(f.python_calls(one(spark, PYTHON), "k", "x"))
+    assert rows(f.python_imports(one(spark, PYTHON), "k", "x")) == sorted([("os", None), ("a.b", "c")], key=str)
+    assert rows(f.declarations(one(spark, "pub fn a() {} struct B; fn a()"), "k", "x", "rust")) == [("function", "a"), ("struct", "B")]
+
+
+def test_severity(spark):
+    df = spark.createDataFrame([("error_rate", 0.2), ("latency", 0.7), ("latency", 2.0), ("queue", 60.0), ("queue", 1.0)], "signal_type string, metric_value double")
+    assert [r.severity for r in f.metric_severity(df).collect()] == ["critical", "warning", "critical", "warning", "normal"]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a,"b"'), (2, None)], "i bigint, s string")
+    sinks.write_csv(df.coalesce(1), str(tmp_path / "c"))
+    assert '1,"a,""b"""' in next((tmp_path / "c").glob("*.csv")).read_text()
+    sinks.write_report(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    manifest = sinks.evidence_bundle({"t": df}, {"head": "x"}, str(tmp_path / "e.zip"))
+    assert set(manifest["files"]) == {"t.csv", "chain_head.json"}
+    assert set(zipfile.ZipFile(tmp_path / "e.zip").namelist()) == {"t.csv", "chain_head.json", "manifest.json"}
+    with pytest.raises(ValueError):
+        sinks.evidence_bundle({"t": df}, {}, str(tmp_path / "f.zip"), most_rows=1)
+    timed = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "i int, ts string")
+    for _ in range(2):
+        sinks.replace_days(timed, str(tmp_path / "d"), "ts")
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 2
+
+
+def test_text_functions(spark):
+    values = ["", "a", "abc", "abcd", "ééé€", "getHTTPResponse_v2 fooBar", "x" * 30 + "é€👍"]
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    grams = [r[0] for r in df.select(t.char_trigrams(F.col("s"))).collect()]
+    assert [set(g) for g in grams] == [{v[i : i + 3] for i in range(len(v) - 2)} for v in values]
+    for most in range(28, 42):
+        assert [r[0] for r in df.select(t.truncate_bytes(F.col("s"), most)).collect()] == [v.encode()[:most].decode("utf-8", "ignore") for v in values]
+    words = df.filter("s like 'get%'").select(t.code_words(F.col("s"))).collect()[0][0]
+    assert words == ["get", "http", "response", "v2", "foo", "bar"]
+    assert [r[0] for r in df.select(F.round(t.entropy(F.col("s")), 6)).collect()][:4] == [0.0, 0.0, 1.584963, 2.0]
+
+
+def test_required_trigrams_lose_no_match():
+    assert t.required_trigrams("cache key") == sorted({"cac", "ach", "che", "he ", "e k", " ke", "key"})
+    assert t.required_trigrams("foo|bar") == [] and t.required_trigrams("fo+bar") == ["bar"]
+    assert t.required_trigrams("(abc)?def") == ["def"] and t.required_trigrams(r"a\.bc") == [".bc", "a.b"]
+    assert t.required_trigrams("[abc]xyz{2}q") == []
+
+
+def test_osa_distance():
+    assert [t.osa_distance(a, b, 2) for a, b in [("ab", "ba"), ("abc", "abc"), ("abc", "axc"), ("abcd", "ab"), ("abc", "xyz"), ("ca", "abc")]] == [1, 0, 1, 2, 3, 3]
+
+
+def test_markdown_chunks():
+    text = "intro " * 60 + "\n# One\n" + "a " * 200 + "\n## Two\nshort\n```\n# not a heading\n```\n# Three\n" + "\n\n".join("para " * 100 for _ in range(8))
+    chunks = t.markdown_chunks(text)
+    assert [h for h, _ in chunks][:3] == [None, "One", "Three"]
+    assert "# not a heading" in chunks[1][1] and all(len(c.encode()) / 4 <= 512 for _, c in chunks)
+    assert t.markdown_chunks("# only") == [("only", "")] and t.markdown_chunks("  \n ") == []
+
+
+def test_greedy_dedup(spark):
+    df = spark.createDataFrame([(1, 1, "a b c"), (1, 2, "a b c"), (1, 3, "d"), (2, 1, None), (2, 2, None)], "g int, place int, text string")
+    out = sorted((r.g, r.place) for r in search.distinct_ranked(df, "g", "place", "text").collect())
+    assert out == [(1, 1), (1, 3), (2, 1), (2, 2)]
