@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.cluster import cut
 from loomgrain.functions import text as t
 
 #: Published defaults of the ranking function.
@@ -44,12 +45,13 @@ def _times(words: str, term: str) -> Column:
 def bm25(documents: DataFrame, terms: Sequence[str], field: Column, k1: float = K1, b: float = B) -> DataFrame:
     """doc_id, score of the documents that hold any of the terms.
 
-    The frequency of each term is counted in the document's own row; the corpus' numbers are one row. Nothing
-    is exploded or shuffled. Terms are lower-case words as by code_words().
+    The frequency of each term is counted in the document's own row, once: the counts are written to the
+    checkpoint folder, since both the corpus' numbers and the scores need them. Nothing is exploded or shuffled. Terms are lower-case words as by code_words().
     """
     terms = list(dict.fromkeys(terms))
     words = t.code_words(field)
     counted = documents.filter(field.isNotNull()).select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("dl"), *(_times("w", term).alias(f"tf{i}") for i, term in enumerate(terms)))
+    counted = cut(counted)
     corpus = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
