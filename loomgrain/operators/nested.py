@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from json.decoder import scanstring
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,7 @@ class NotJson(ValueError):
     """The text is not one complete JSON value."""
 
 
+@lru_cache(maxsize=4096)
 def plain_name(name: str) -> str:
     """A name as all its spellings have it in common: stalenessTier and staleness_tier give stalenesstier."""
     return name.replace("_", "").lower()
@@ -104,8 +107,7 @@ class Number(str):
     """A number as written."""
 
 
-@dataclass(frozen=True)
-class Triple:
+class Triple(NamedTuple):
     """path: plain names joined by dots, [] after each list; ordinals: the position in each of these lists."""
 
     path: str
@@ -114,19 +116,19 @@ class Triple:
     kind: str  # object, list, string, number, boolean, null
 
 
-def triples(text: str, lists: frozenset[str] = frozenset()) -> Iterator[Triple]:
-    """The path-value-ordinal triples of a record.
+def triples(text: str, lists: frozenset[str] = frozenset(), only: frozenset[str] | None = None) -> Iterator[Triple]:
+    """The path-value-ordinal triples of a record, all or those of the paths in `only`.
 
     Each object, each list and each scalar gives one. At a path in `lists` a lone object stands for a
     list with it as its item at 0. Raises NotJson at the place where text isn't JSON.
     """
     path, ordinals = "", ()
-    stack: list[tuple] = []  # (kind, path of the items or fields, ordinals, lone)
+    stack: list[tuple[str, str, tuple]] = []  # kind, path of the items or fields, ordinals
     counts: list[int] = []
     for event, value in events(text):
         if event == "key":
-            name = plain_name(value)
-            path = f"{stack[-1][1]}.{name}" if stack[-1][1] else name
+            own = stack[-1][1]
+            path = f"{own}.{plain_name(value)}" if own else plain_name(value)
             continue
         if event in "}]":
             stack.pop()
@@ -137,21 +139,27 @@ def triples(text: str, lists: frozenset[str] = frozenset()) -> Iterator[Triple]:
                 stack.append((event, "", ()))
                 counts.append(-1)
             continue
-        if stack and stack[-1][0] == "[":
+        if not stack:
+            ordinals = ()
+        elif stack[-1][0] == "[":
             counts[-1] += 1
             path, ordinals = stack[-1][1], (*stack[-1][2], counts[-1])
         else:
-            ordinals = stack[-1][2] if stack else ()
+            ordinals = stack[-1][2]
         if event == "{":
             if path in lists:
                 path, ordinals = path + "[]", (*ordinals, 0)
-            yield Triple(path, None, ordinals, "object")
+            if only is None or path in only:
+                yield Triple(path, None, ordinals, "object")
             stack.append(("{", path, ordinals))
             counts.append(-1)
         elif event == "[":
-            yield Triple(path, None, ordinals, "list")
+            if only is None or path in only:
+                yield Triple(path, None, ordinals, "list")
             stack.append(("[", path + "[]", ordinals))
             counts.append(-1)
+        elif only is not None and path not in only:
+            continue
         elif isinstance(value, Number):
             yield Triple(path, str(value), ordinals, "number")
         elif value is None:
@@ -180,6 +188,12 @@ class Shape:
         return frozenset(p[: i] for p in self.tables.values() for i in range(len(p)) if p.startswith("[]", i))
 
 
+    @property
+    def paths(self) -> list[str]:
+        """The paths of the tables' items and of their fields."""
+        return [p for table, path in self.tables.items() for p in (path, *(f"{path}.{f}" for f in self.fields[table]))]
+
+
 #: The impact packet.
 PACKET = Shape(
     {"change": "changes[]", "symbol": "changes[].symbols[]", "decision": "relevantdecisions[]"},
@@ -242,16 +256,13 @@ def record_triples(text: str | None, shape: Shape) -> list[Triple]:
         text, layer = root
         depth = layer.count("[]")
         prefix = layer + "." if layer else ""
-        wanted = {path: table for table, path in shape.tables.items()}
+        wanted = frozenset(prefix + p for p in shape.paths)
         out = []
-        for t in triples(text, frozenset(prefix + p for p in shape.lists)):
-            if not t.path.startswith(prefix) or any(t.ordinals[:depth]):
+        for t in triples(text, frozenset(prefix + p for p in shape.lists), wanted):
+            if any(t.ordinals[:depth]):
                 continue
             own = t.path[len(prefix) :]
-            parent, _, field = own.rpartition(".")
-            if own in wanted:
-                out.append(Triple(own, t.value, t.ordinals[depth:], t.kind))
-            elif parent in wanted and field in shape.fields[wanted[parent]] and t.kind not in ("object", "list"):
+            if own.endswith("[]") or t.kind not in ("object", "list"):
                 out.append(Triple(own, t.value, t.ordinals[depth:], t.kind))
         return out
     except NotJson:
