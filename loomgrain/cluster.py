@@ -38,3 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint where its counted rows stay within limit, else unchanged (a shuffle join)."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for Python work that costs more than moving its input.
+
+    A scan of few row groups has few tasks; its rows are then dealt out once. A scan of as many tasks as
+    cores, which every large table has, isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.cluster import spread
+
 _SPACE = re.compile(r"[ \t\n\r]*")
 _SCALAR = re.compile(r"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null)(?![\w.+-])")
 
@@ -270,7 +272,7 @@ def record_triples(text: str | None, shape: Shape) -> list[Triple]:
 
 
 def shred(df: DataFrame, id_column: str, text_column: str, shape: Shape = PACKET) -> DataFrame:
-    """__id, path, value, ordinals, kind: the triples of all records, in one pass without a shuffle."""
+    """__id, path, value, ordinals, kind: the triples of all records, in one pass."""
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches):
@@ -284,7 +286,7 @@ def shred(df: DataFrame, id_column: str, text_column: str, shape: Shape = PACKET
             ids = batch.column(0).take(pa.array(who, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.string())], names=["__id", "path", "value", "ordinals", "kind"])
 
-    return df.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(run, f"__id {kind}, path string, value string, ordinals array<bigint>, kind string")
+    return spread(df.select(F.col(id_column), F.col(text_column).cast("string"))).mapInArrow(run, f"__id {kind}, path string, value string, ordinals array<bigint>, kind string")
 
 
 def flat_table(found: DataFrame, table: str, shape: Shape = PACKET) -> DataFrame:
