@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.cluster import spread
 from loomgrain.llm import bpe
 
 #: Characters that are taken together before their new chunks are merged.
@@ -16,7 +17,7 @@ BATCH_CHARS = 8_000_000
 def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """id_column and ids array<int>: each text's ids, without special tokens.
 
-    One pass without a shuffle; every row is kept, repeated ids included. A null and an empty text
+    One pass; every row is kept, repeated ids included. A null and an empty text
     give an empty list. Text that looks like a special token is ordinary text. A text of any length
     is encoded whole.
     """
@@ -37,4 +38,4 @@ def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), lists], names=[id_column, "ids"])
                 at = end
 
-    return df.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(run, f"`{id_column}` {kind.simpleString()}, ids array<int>")
+    return spread(df.select(F.col(id_column), F.col(text_column).cast("string"))).mapInArrow(run, f"`{id_column}` {kind.simpleString()}, ids array<int>")

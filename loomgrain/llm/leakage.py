@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.cluster import spread
+
 #: Consecutive words that make a leak.
 MIN_WORDS = 12
 #: Words of a shard for which one suffix array is built.
@@ -179,7 +181,7 @@ def find_matches(
     is a run of at least min_words common words or, for an item of fewer words, the whole item. Words are
     runs of letters and digits without regard to case. Null and empty texts and items without a word
     leak nothing. Equal items each come out, equal documents too. The items go to all tasks in blocks of
-    BLOCK_WORDS characters at most; the documents are read once for each block and never shuffled.
+    BLOCK_WORDS characters at most; the documents are read once for each block.
     """
     kind, item_kind = documents.schema[id_column].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     names = [id_column, item_id, "n_words", "item_word", "doc_word"]
@@ -208,7 +210,7 @@ def find_matches(
                 if len(vocabulary) > 500_000:
                     vocabulary = Vocabulary(tests.numbers)
 
-        return corpus.mapInArrow(run, schema)
+        return spread(corpus).mapInArrow(run, schema)
 
     out = None
     for block in _blocks(items, item_id, item_text):

@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.cluster import spread
 from loomgrain.llm import bpe
 
 LIMIT = 2048
@@ -140,7 +141,7 @@ def split_oversized(
     Columns: id_column, piece_no (from 0), n_pieces, doc_tokens, start_char, end_char, n_tokens,
     boundary (4 empty line or end of text, 3 line, 2 sentence, 1 word, 0 none), overlap_chars, piece.
     Null, empty and smaller texts give no rows. A text of no more bytes than `limit` can't have more
-    tokens and isn't sent to Python; every other text is counted whole. One pass, no shuffle; equal
+    tokens and isn't sent to Python; every other text is counted whole. One pass; equal
     rows give equal pieces, once for each row.
     """
     if not 0 <= overlap < limit // 4:
@@ -169,4 +170,4 @@ def split_oversized(
 
     text = F.col(text_column).cast("string")
     schema = f"`{id_column}` {kind}, piece_no int, n_pieces int, doc_tokens bigint, start_char bigint, end_char bigint, n_tokens int, boundary int, overlap_chars bigint, piece string"
-    return df.select(F.col(id_column), text.alias("__text")).filter(F.octet_length("__text") > limit).mapInArrow(run, schema)
+    return spread(df.select(F.col(id_column), text.alias("__text")).filter(F.octet_length("__text") > limit)).mapInArrow(run, schema)
