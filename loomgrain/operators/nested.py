@@ -232,8 +232,14 @@ def unwrap(text: str, shape: Shape) -> tuple[str, str] | None:
             under = [p for p in kinds if p.startswith(layer) and p != layer and "." not in p[len(layer) :].lstrip(".") and "[" not in p[len(layer) :]]
             names = {p[len(layer) :].lstrip("."): p for p in under}
             inner = next((names[w] for w in shape.wraps if w in names and kinds[names[w]][0] in ("object", "string", "list") and _holds(kinds, names[w])), None)
-            if inner is None or "schemaversion" in names:
-                return (text, layer) if any(m in names for m in shape.marks) else None
+            if inner is None or shape.marks[0] in names:
+                if any(m in names for m in shape.marks):
+                    return text, layer
+                # a wrapper of another name: the shallowest object below that has the first mark
+                marked = [p for p in kinds if p.startswith(layer) and p.endswith("." + shape.marks[0]) and "[" not in p[len(layer) :]]
+                if not marked:
+                    return None
+                return text, min(marked, key=lambda p: (p.count("."), p)).rpartition(".")[0]
             layer = inner
         if kinds.get(layer, ("",))[0] == "string":
             text = kinds[layer][1]

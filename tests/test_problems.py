@@ -93,6 +93,7 @@ WRAPPED = [
     json.dumps({"packet": TEXT}),
     json.dumps({"kind": "impact", "payload": {"changes": None, "packet": PACKET}}),
     json.dumps([PACKET]),
+    json.dumps({"meta": {"id": 1}, "envelope": {"inner": PACKET}}),
     json.dumps(PACKET, indent=2),
     json.dumps({("schema_version" if k == "schemaVersion" else k): v for k, v in reversed(PACKET.items())}),
 ]
