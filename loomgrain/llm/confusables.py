@@ -22,11 +22,11 @@ from loomgrain.cluster import broadcast_if
 # first letter stands for all where no script can spell a token. Letters of unlike looks, of other case, or told
 # apart by a dot or a stroke aren't together.
 LOOK_ALIKES = """
-aаɑα  bЬƅᏏ  cсϲᴄⲥ  dԁᏧ  eеҽ℮  fքꞙ  gɡցᶃ  hһհᏂ  iіιɩᎥꙇ  jјϳ  kк  lӏǀⵏ  nոռ  oоοօᴏⲟჿ  pрρⲣ  qԛգ  rⲅ
+aаɑα  bЬƅᏏ  cсϲᴄⲥ  dԁᏧ  eеҽ℮  fքꞙ  gɡցᶃ  hһհᏂ  iіιɩᎥꙇ  jјϳ  lӏǀⵏ  nոռ  oоοօᴏⲟჿ  pрρⲣ  qԛգ  rⲅ
 sѕꜱ  uսυʋᴜ  vνѵᴠ  wԝաᴡ  xхᕁ  yуүʏγყ  zᴢ
 AАΑᎪ  BВΒᏴ  CСϹᏟ  DᎠ  EЕΕᎬ  FϜ  GԌᏀ  HНΗᎻ  IІΙӀ  JЈᎫ  KКΚᏦ  LᏞ  MМΜᎷ  NΝⲚ  OОΟՕ  PРΡᏢ  QԚ  SЅՏᏚ  TТΤᎢ
 UՍ  VѴᏙ  WԜᎳ  XХΧ  YΥҮ  ZΖᏃ
-кκĸ  гᴦ  вʙ  нʜ  мᴍ  тᴛ  ΓГ  ΠП  ΦФ  эɛε  əә  þϸ
+кκĸ  гᴦ  вʙ  нʜ  мᴍ  тᴛ  ΓГ  ΠП  ΦФ  ɛε  əә  þϸ
 """
 # Signs that look alike; the first stands for all.
 SIGNS = """
