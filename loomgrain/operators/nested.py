@@ -2,11 +2,13 @@
 
 Each record is parsed as a stream of events with an explicit stack, so depth is no limit. Values come
 out as path-value-ordinal triples; triples are grouped by their repeated ancestor, which is the deepest
-list on their path, and each group is pivoted into one table.
+list on their path, and each group is pivoted into one table: a column for each field of the shape and a map
+of all others. Lists that have no table of their own come out item by item in one further table.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +17,7 @@ from json.decoder import scanstring
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.cluster import spread
@@ -28,7 +30,7 @@ _SCALAR = re.compile(r"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|n
 _PLAIN_ROOT = re.compile(r'[ \t\n\r]*\{[ \t\n\r]*"schema_?version"', re.IGNORECASE)
 
 
-#: Levels below which no triples are given; the tables of a shape lie far above.
+#: Levels below which an object or list comes out as one triple with its JSON text; the tables of a shape lie far above.
 MAX_DEPTH = 96
 
 
@@ -38,8 +40,11 @@ class NotJson(ValueError):
 
 @lru_cache(maxsize=4096)
 def plain_name(name: str) -> str:
-    """A name as all its spellings have it in common: stalenessTier and staleness_tier give stalenesstier."""
-    return name.replace("_", "").lower()
+    """A name as all its spellings have it in common: stalenessTier and staleness_tier give stalenesstier.
+
+    A name's own [] is written [\\], so that it is no list's.
+    """
+    return name.replace("_", "").lower().replace("[]", "[\\]")
 
 
 def events(text: str) -> Iterator[tuple[str, object]]:
@@ -115,7 +120,29 @@ class Triple(NamedTuple):
     path: str
     value: str | None
     ordinals: tuple[int, ...]
-    kind: str  # object, list, string, number, boolean, null
+    kind: str  # object, list, string, number, boolean, null, json
+
+
+def _rest(stream: Iterator[tuple[str, object]], opening: str) -> str:
+    """The JSON text of the object or list that has just begun in the stream."""
+    out, level, last = [opening], 1, opening
+    while level:
+        event, value = next(stream)
+        if event in "}]":
+            level -= 1
+            out.append(event)
+        else:
+            if last not in ("{", "[", "key"):
+                out.append(",")
+            if event == "key":
+                out.append(json.dumps(value, ensure_ascii=False) + ":")
+            elif event == "value":
+                out.append(value if isinstance(value, Number) else json.dumps(value, ensure_ascii=False))
+            else:
+                level += 1
+                out.append(event)
+        last = event
+    return "".join(out)
 
 
 def triples(text: str, lists: frozenset[str] = frozenset(), only: frozenset[str] | None = None) -> Iterator[Triple]:
@@ -124,10 +151,11 @@ def triples(text: str, lists: frozenset[str] = frozenset(), only: frozenset[str]
     Each object, each list and each scalar gives one. At a path in `lists` a lone object stands for a
     list with it as its item at 0. Raises NotJson at the place where text isn't JSON.
     """
+    stream = events(text)
     path, ordinals = "", ()
     stack: list[tuple[str, str, tuple]] = []  # kind, path of the items or fields, ordinals
     counts: list[int] = []
-    for event, value in events(text):
+    for event, value in stream:
         if event == "key":
             own = stack[-1][1]
             path = f"{own}.{plain_name(value)}" if own else plain_name(value)
@@ -136,11 +164,6 @@ def triples(text: str, lists: frozenset[str] = frozenset(), only: frozenset[str]
             stack.pop()
             counts.pop()
             continue
-        if len(stack) > MAX_DEPTH:  # far below any table: only the end of the value counts
-            if event in "{[":
-                stack.append((event, "", ()))
-                counts.append(-1)
-            continue
         if not stack:
             ordinals = ()
         elif stack[-1][0] == "[":
@@ -148,7 +171,11 @@ def triples(text: str, lists: frozenset[str] = frozenset(), only: frozenset[str]
             path, ordinals = stack[-1][1], (*stack[-1][2], counts[-1])
         else:
             ordinals = stack[-1][2]
-        if event == "{":
+        if event in "{[" and len(stack) > MAX_DEPTH:
+            rest = _rest(stream, event)
+            if only is None or path in only:
+                yield Triple(path, rest, ordinals, "json")
+        elif event == "{":
             if path in lists:
                 path, ordinals = path + "[]", (*ordinals, 0)
             if only is None or path in only:
@@ -176,7 +203,7 @@ def triples(text: str, lists: frozenset[str] = frozenset(), only: frozenset[str]
 class Shape:
     """What a record's root looks like, and which of its lists become tables.
 
-    tables: table name → path of its list, such as changes[].symbols[]. fields: names under each item that become columns.
+    tables: table name → path of its list, such as changes[].symbols[]. fields: paths under each item that become columns; others go to a map.
     marks: names of which a root has one at least. wraps: names under which a wrapper holds the root.
     """
 
@@ -195,11 +222,25 @@ class Shape:
         """The paths of the tables' items and of their fields."""
         return [p for table, path in self.tables.items() for p in (path, *(f"{path}.{f}" for f in self.fields[table]))]
 
+    def covers(self, path: str) -> bool:
+        """Whether the path is that of a table's item or lies below one."""
+        return any(path == p or path.startswith((p + ".", p + "[")) for p in self.tables.values())
+
+
+def owner(path: str) -> str:
+    """The repeated ancestor: the path up to its deepest list."""
+    return path[: path.rfind("[]") + 2] if "[]" in path else ""
+
 
 #: The impact packet.
 PACKET = Shape(
-    {"change": "changes[]", "symbol": "changes[].symbols[]", "decision": "relevantdecisions[]"},
-    {"change": ("path", "status", "oldpath", "isstaged"), "symbol": ("name", "kind", "ispublic", "qualifiedname"), "decision": ("filepath", "heading", "similarity", "stalenesstier", "stalenessdays")},
+    {"change": "changes[]", "symbol": "changes[].symbols[]", "decision": "relevantdecisions[]", "route": "changes[].apiroutes[]"},
+    {
+        "change": ("path", "status", "oldpath", "isstaged", "analysisstatus.symbols", "analysisstatus.imports", "analysisstatus.runtimeusage"),
+        "symbol": ("name", "kind", "ispublic", "qualifiedname", "cognitivecomplexity", "cyclomaticcomplexity", "linestart", "lineend", "bytestart", "byteend", "entrypointkind"),
+        "decision": ("filepath", "heading", "excerpt", "similarity", "rerankscore", "stalenesstier", "stalenessdays"),
+        "route": ("method", "path", "pathpattern", "handlersymbolname", "framework", "routesource", "mountprefix", "isdynamic", "routeconfidence", "evidence", "owningservice"),
+    },
     ("schemaversion", "changes", "relevantdecisions"),
     ("packet", "payload", "impactpacket", "data", "body", "document", "record", "value", "json"),
 )
@@ -253,8 +294,11 @@ def _holds(kinds: dict[str, tuple[str, str | None]], path: str) -> bool:
     return kind != "string" or (value or "").lstrip("﻿ \t\n\r")[:1] in ("{", "[", '"')
 
 
-def record_triples(text: str | None, shape: Shape) -> list[Triple]:
-    """Triples below a record's root that belong to one of the shape's tables; none if it can't be read."""
+def record_triples(text: str | None, shape: Shape, only: frozenset[str] | None = None, owners: frozenset[str] | None = None) -> list[Triple]:
+    """Triples at and below the items of the shape's tables; none if the record can't be read.
+
+    All of them, or those of the paths in `only`, or those whose repeated ancestor is in `owners`.
+    """
     if not text:
         return []
     try:
@@ -264,28 +308,31 @@ def record_triples(text: str | None, shape: Shape) -> list[Triple]:
         text, layer = root
         depth = layer.count("[]")
         prefix = layer + "." if layer else ""
-        wanted = frozenset(prefix + p for p in shape.paths)
+        wanted = None if only is None else frozenset(prefix + p for p in only)
+        kept: dict[str, bool] = {}
         out = []
         for t in triples(text, frozenset(prefix + p for p in shape.lists), wanted):
             if any(t.ordinals[:depth]):
                 continue
             own = t.path[len(prefix) :]
-            if own.endswith("[]") or t.kind not in ("object", "list"):
+            if own not in kept:
+                kept[own] = t.path.startswith(prefix) and shape.covers(own) and (owners is None or owner(own) in owners)
+            if kept[own] and (own.endswith("[]") or t.kind not in ("object", "list")):
                 out.append(Triple(own, t.value, t.ordinals[depth:], t.kind))
         return out
     except NotJson:
         return []
 
 
-def shred(df: DataFrame, id_column: str, text_column: str, shape: Shape = PACKET) -> DataFrame:
-    """__id, path, value, ordinals, kind: the triples of all records, in one pass."""
+def shred(df: DataFrame, id_column: str, text_column: str, shape: Shape = PACKET, only: frozenset[str] | None = None, owners: frozenset[str] | None = None) -> DataFrame:
+    """__id, path, value, ordinals, kind: the triples of all records, in one pass; only and owners as in record_triples."""
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             who, columns = [], ([], [], [], [])
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for t in record_triples(text, shape):
+                for t in record_triples(text, shape, only, owners):
                     who.append(i)
                     for c, v in zip(columns, (t.path, t.value, t.ordinals, t.kind)):
                         c.append(v)
@@ -295,34 +342,67 @@ def shred(df: DataFrame, id_column: str, text_column: str, shape: Shape = PACKET
     return spread(df.select(F.col(id_column), F.col(text_column).cast("string"))).mapInArrow(run, f"__id {kind}, path string, value string, ordinals array<bigint>, kind string")
 
 
+def _owner() -> Column:
+    """owner() of the column path."""
+    return F.regexp_extract("path", r"(?s)^(.*\[\])", 1)
+
+
+def _map(entries: Column) -> Column:
+    """A map of name-value structs, some null; of values with the same name the greatest."""
+    of = F.array_sort(F.collect_set(entries))
+    last = F.filter(of, lambda x, i: F.coalesce(F.get(of, i + 1)["name"] != x["name"], F.lit(True)))
+    return F.map_from_entries(last)
+
+
 def flat_table(found: DataFrame, table: str, shape: Shape = PACKET) -> DataFrame:
-    """One table of the shape: __id, parent_pos (-1 at the top), pos and a column for each field.
+    """One table of the shape: __id, parent_pos (-1 at the top), pos, a column for each field, and more.
 
-    Triples are grouped by record and by the ordinals of their repeated ancestor and pivoted. Redelivered
-    records fall together. A null item of a list is no record. An item that is no object has null fields.
+    A field's dots are _ in its column. more holds all other fields under their paths below the item, and
+    under the empty path the item itself where it is no object. Triples are grouped by record and by the
+    ordinals of their repeated ancestor and pivoted. Redelivered records fall together. A null item of a
+    list is no record. An item that is no object has null fields.
     """
     path = shape.tables[table]
     depth = path.count("[]")
-    own = found.filter((F.col("path") == path) | F.col("path").isin([f"{path}.{f}" for f in shape.fields[table]]))
+    if depth > 2:
+        raise ValueError("parent_pos names one parent: a table lies in one list or in a list of one")
+    own = found.filter(_owner() == path).withColumnsRenamed({"path": "__path", "value": "__value", "kind": "__kind"})
     ordinal = lambda k: F.get("ordinals", F.lit(k))
     parent = ordinal(depth - 2) if depth > 1 else F.lit(-1).cast("bigint")
-    cells = [F.max(F.when(F.col("path") == f"{path}.{f}", F.col("value"))).alias(f) for f in shape.fields[table]]
-    present = F.max((F.col("path") == path) & (F.col("kind") != "null"))
-    return own.groupBy("__id", parent.alias("parent_pos"), ordinal(depth - 1).alias("pos")).agg(present.alias("__present"), *cells).filter("__present").drop("__present")
+    cells = [F.max(F.when(F.col("__path") == f"{path}.{f}", F.col("__value"))).alias(f.replace(".", "_")) for f in shape.fields[table]]
+    other = ~F.col("__path").isin([f"{path}.{f}" for f in shape.fields[table]]) & ((F.col("__path") != path) | ~F.col("__kind").isin("object", "list", "null"))
+    more = _map(F.when(other, F.struct(F.substring("__path", len(path) + 2, 1 << 30).alias("name"), F.col("__value").alias("value"))))
+    present = F.max((F.col("__path") == path) & (F.col("__kind") != "null"))
+    return own.groupBy("__id", parent.alias("parent_pos"), ordinal(depth - 1).alias("pos")).agg(present.alias("__present"), *cells, more.alias("more")).filter("__present").drop("__present")
+
+
+def list_items(found: DataFrame, shape: Shape = PACKET) -> DataFrame:
+    """The items of all lists below the tables' items that are no tables themselves: __id, list_path, ancestors, pos, kind, value, fields.
+
+    ancestors holds the positions of the items around it, outermost first; value is that of an item that is no object, fields
+    holds the others' fields under their paths below the item. Null items come out too, with kind null.
+    """
+    own = found.withColumn("list_path", _owner()).filter(~F.col("list_path").isin(list(shape.tables.values())))
+    itself = F.col("path") == F.col("list_path")
+    fields = _map(F.when(~itself, F.struct(F.expr("substring(path, length(list_path) + 2)").alias("name"), "value")))
+    item = F.max(F.when(itself, F.struct("kind", "value")))
+    grouped = own.groupBy("__id", "list_path", "ordinals").agg(item.alias("item"), fields.alias("fields"))
+    size = F.size("ordinals")
+    return grouped.select("__id", "list_path", F.slice("ordinals", F.lit(1), size - 1).alias("ancestors"), F.get("ordinals", size - 1).alias("pos"), "item.kind", "item.value", "fields")
 
 
 def packet_records(snapshots: DataFrame) -> DataFrame:
     """snapshot_id, record_kind, parent_pos, pos, item_key of all records of the packets."""
-    found = shred(snapshots.filter("id is not null and packet_json is not null"), "id", "packet_json")
     # all tables at once: one grouping over the few fields that are asked for
     paths = {f"{p}.{f}": (kind, p, p.count("[]")) for kind, f in (("change", "path"), ("symbol", "name"), ("decision", "stalenesstier")) for p in [PACKET.tables[kind]]}
+    items = [PACKET.tables[kind] for kind in ("change", "symbol", "decision")]
+    found = shred(snapshots.filter("id is not null and packet_json is not null"), "id", "packet_json", only=frozenset((*paths, *items)))
     parent = F.when(F.size("ordinals") > 1, F.get("ordinals", F.size("ordinals") - 2)).otherwise(F.lit(-1).cast("bigint"))
-    own = found.filter(F.col("path").isin([*paths, *PACKET.tables.values()]))
     kind = F.coalesce(*(F.when(F.col("path").isin(p, key), k) for key, (k, p, _) in paths.items()))
     value = F.when(F.col("path").isin(list(paths)), F.col("value"))
-    grouped = own.select("*", kind.alias("record_kind"), value.alias("key")).groupBy("__id", "record_kind", parent.alias("parent_pos"), F.get("ordinals", F.size("ordinals") - 1).alias("pos")).agg(
+    grouped = found.select("*", kind.alias("record_kind"), value.alias("key")).groupBy("__id", "record_kind", parent.alias("parent_pos"), F.get("ordinals", F.size("ordinals") - 1).alias("pos")).agg(
         F.max("key").alias("item_key"),
-        F.max(F.col("path").isin(list(PACKET.tables.values())) & (F.col("kind") != "null")).alias("present"),
+        F.max(F.col("path").isin(items) & (F.col("kind") != "null")).alias("present"),
     )
     key = F.when(F.col("record_kind") == "decision", F.lower("item_key")).otherwise(F.col("item_key"))
     return grouped.filter("present and (record_kind <> 'decision' or item_key is not null)").select(F.col("__id").cast("bigint").alias("snapshot_id"), "record_kind", "parent_pos", "pos", key.alias("item_key"))

@@ -34,7 +34,7 @@ def latest_packets(s, d):
 
 def packet_languages(s, d):
     """Changed files of all packets by language and by whether they are known."""
-    found = nested.flat_table(nested.shred(table(s, d, "snapshots").filter("id is not null and packet_json is not null"), "id", "packet_json"), "change")
+    found = nested.flat_table(nested.shred(table(s, d, "snapshots").filter("id is not null and packet_json is not null"), "id", "packet_json", owners=frozenset([nested.PACKET.tables["change"]])), "change")
     joined = found.join(_files(s, d).select(F.col("file_path").alias("path"), "language"), "path", "left")
     return joined.groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.count("*").alias("n"), F.count_distinct("__id").alias("snapshots"))
 

@@ -43,15 +43,24 @@ def p5_found(spark: SparkSession, where: str) -> DataFrame:
     return nested.packet_records(table(spark, where, "snapshots"))
 
 
+def _packets(spark: SparkSession, where: str) -> DataFrame:
+    return table(spark, where, "snapshots").filter("id is not null and packet_json is not null")
+
+
 def _flat(name: str):
     def query(spark: SparkSession, where: str) -> DataFrame:
-        found = nested.shred(table(spark, where, "snapshots").filter("id is not null and packet_json is not null"), "id", "packet_json")
+        found = nested.shred(_packets(spark, where), "id", "packet_json", owners=frozenset([nested.PACKET.tables[name]]))
         return nested.flat_table(found, name).withColumnRenamed("__id", "snapshot_id")
 
     return query
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_gaps, p4_periods, p5_found)} | {f"p5_{n}s": _flat(n) for n in nested.PACKET.tables}
+def p5_lists(spark: SparkSession, where: str) -> DataFrame:
+    """The items of all further lists of changes, symbols and decisions, such as imports and environment variables."""
+    return nested.list_items(nested.shred(_packets(spark, where), "id", "packet_json")).withColumnRenamed("__id", "snapshot_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_gaps, p4_periods, p5_found, p5_lists)} | {f"p5_{n}s": _flat(n) for n in nested.PACKET.tables}
 
 _P2 = r"""
 led as (select id, arg_min(struct_pack(k := key, p := period), loaded_at) r, min(loaded_at) loaded from (
