@@ -78,39 +78,76 @@ def one_hop_used(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return symbols.select("node").distinct().join(edges.filter("source <> target").select(F.col("target").alias("node")), "node", "left_semi")
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """node, rank after a number of rounds; the ranks sum to 1 and what dead ends hold is spread over all nodes."""
-    links = edges.select("source", "target").distinct()
+def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-11, most: int = 2000) -> DataFrame:
+    """node, rank; the ranks sum to 1 and what dead ends hold is spread over all nodes.
+
+    The rounds go on until all ranks together move by no more than tolerance, which leaves an error of at most
+    damping / (1 - damping) times that; RuntimeError if `most` rounds don't suffice. With `rounds` exactly so
+    many are made, at rest or not.
+    """
+    links = cut(edges.select("source", "target").distinct())
     out_degree = links.groupBy("source").agg(F.count("*").alias("degree"))
     everyone = cut(nodes.select("node").distinct().join(out_degree.withColumnRenamed("source", "node"), "node", "left"))
     n = everyone.count()
-    ranks = everyone.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for _ in range(rounds):
+    ranks = everyone.withColumn("rank", F.lit(1.0 / max(n, 1))).withColumn("moved", F.lit(0.0))
+    for _ in range(most if rounds is None else rounds):
         share = ranks.filter("degree is not null").select(F.col("node").alias("source"), (F.col("rank") / F.col("degree")).alias("share"))
         given = links.join(share, "source").groupBy(F.col("target").alias("node")).agg(F.sum("share").alias("given"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        fresh = everyone.join(given, "node", "left").crossJoin(F.broadcast(lost))
-        ranks = cut(fresh.select("node", "degree", ((1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
+        fresh = ranks.join(given, "node", "left").crossJoin(F.broadcast(lost))
+        rank = (1 - damping) / max(n, 1) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / max(n, 1))
+        ranks = cut(fresh.select("node", "degree", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved")))
+        if rounds is None and (ranks.agg(F.sum("moved")).first()[0] or 0.0) <= tolerance:
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks still move by more than {tolerance} after {most} rounds")
     return ranks.select("node", "rank")
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """node, community by label propagation over undirected edges.
+def _votes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who hears whom (source, target), each node itself too, and the first labels (node, community)."""
+    links = edges.select("source", "target").filter("source <> target")
+    both = cut(links.unionAll(links.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
+    labels = cut(both.select(F.col("source").alias("node")).distinct().withColumn("community", F.col("node")))
+    return cut(both.unionAll(labels.select(F.col("node").alias("source"), F.col("node").alias("target")))), labels
+
+
+def _vote(votes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels after one more round."""
+    seen = votes.join(labels.select(F.col("node").alias("target"), "community"), "target").groupBy("source", "community").agg(F.count("*").alias("n"))
+    return seen.groupBy(F.col("source").alias("node")).agg(F.max(F.struct("n", (-F.col("community")).alias("label"))).alias("x")).select("node", (-F.col("x.label")).alias("community"))
+
+
+def communities(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """node, community, settled by label propagation over undirected edges, run until nothing moves.
 
     In each round a node takes the label most frequent among its neighbours and itself, the least of equally
     frequent ones; all nodes move at once. Labels are counted before they are ranked, so a hub's
-    neighbours never meet in one list.
+    neighbours never meet in one list. As all move at once, some nodes of a few graphs swap between two labels
+    for ever, while the rest is still: such a node has settled false and the lesser of both labels.
+    RuntimeError if neither state is reached within `most` rounds.
     """
-    links = edges.select("source", "target").filter("source <> target")
-    both = cut(links.unionAll(links.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
-    labels = cut(both.select(F.col("source").alias("node")).distinct().withColumn("community", F.col("node")))
-    votes = both.unionAll(labels.select(F.col("node").alias("source"), F.col("node").alias("target")))
+    votes, labels = _votes(edges)
+    labels = labels.withColumn("before", F.lit(None).cast(labels.schema["community"].dataType))
+    for _ in range(most):
+        known = labels.select("node", F.col("community").alias("last"), F.col("before").alias("last_but_one"))
+        fresh = cut(_vote(votes, labels).join(known, "node").select("node", "community", F.col("last").alias("before"), (F.col("community") != F.col("last")).alias("moved"), (~F.col("community").eqNullSafe(F.col("last_but_one"))).alias("new")))
+        moved, new = fresh.agg(F.count_if("moved"), F.count_if("new")).first()
+        labels = fresh.select("node", "community", "before")
+        if moved == 0 or new == 0:
+            return labels.select("node", F.least("community", "before").alias("community"), (F.col("community") == F.col("before")).alias("settled"))
+    raise RuntimeError(f"labels still move after {most} rounds")
+
+
+def label_rounds(edges: DataFrame, rounds: int) -> DataFrame:
+    """node, community: the labels of communities() after at most so many rounds, at rest or not."""
+    votes, labels = _votes(edges)
     for _ in range(rounds):
-        seen = votes.join(labels.withColumnRenamed("node", "target"), "target").groupBy("source", "community").agg(F.count("*").alias("n"))
-        fresh = cut(seen.groupBy(F.col("source").alias("node")).agg(F.max(F.struct("n", (-F.col("community")).alias("label"))).alias("x")).select("node", (-F.col("x.label")).alias("community")))
-        moved = fresh.join(labels.withColumnRenamed("community", "before"), "node").filter("community <> before").isEmpty()
+        fresh = cut(_vote(votes, labels))
+        same = fresh.join(labels.withColumnRenamed("community", "before"), "node").filter("community <> before").isEmpty()
         labels = fresh
-        if moved:
+        if same:
             break
     return labels
 

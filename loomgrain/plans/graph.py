@@ -103,7 +103,9 @@ QUERIES = {
     "one_hop_used": lambda s, d: g.one_hop_used(_nodes(s, d), _calls(s, d)),
     "reach_counts": lambda s, d: g.reach_counts(_calls(s, d), _entries(s, d), 20),
     "pagerank": lambda s, d: g.pagerank(_calls(s, d), _nodes(s, d), 8).withColumn("rank", F.round("rank", 9)),
-    "communities": lambda s, d: g.communities(_calls(s, d), 5),
+    "pagerank_settled": lambda s, d: g.pagerank(_calls(s, d), _nodes(s, d)).withColumn("rank", F.round("rank", 9)),
+    "communities": lambda s, d: g.label_rounds(_calls(s, d), 5),
+    "communities_settled": lambda s, d: g.communities(_calls(s, d)),
     "modularity": lambda s, d: g.modularity(_calls(s, d), _nodes(s, d).select("node", F.col("category").alias("community"))),
     "neighbourhood": lambda s, d: g.neighbourhood(_calls(s, d), _few(s, d), 2, 150),
     "neighbourhood_skipping": lambda s, d: g.neighbourhood(_calls(s, d), _few(s, d), 2, 150, _nodes(s, d), F.col("category") == "SMALL"),

@@ -1,8 +1,12 @@
 """Nothing is left out: each test holds what an earlier form of an operator dropped."""
 
 import json
+import random
+from collections import Counter, defaultdict
 
-from loomgrain.operators import nested
+import pytest
+
+from loomgrain.operators import graph, nested
 
 ROUTED = {
     "schemaVersion": "v1",
@@ -58,3 +62,57 @@ def test_values_below_the_deepest_level_keep_their_text():
     while "d" in got:
         got = got["d"]
     assert last.kind == "json" and got == value
+
+
+def brute_labels(edges):
+    """Labels at rest, or of a swap for ever the last two rounds, and the number of rounds that moved anything."""
+    near = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    before, labels, rounds = None, {v: v for v in near}, 0
+    while True:
+        fresh = {v: min(Counter([labels[v], *(labels[u] for u in near[v])]).items(), key=lambda x: (-x[1], x[0]))[0] for v in near}
+        if fresh in (labels, before):
+            return labels, fresh, rounds
+        before, labels, rounds = labels, fresh, rounds + 1
+
+
+def graph_where(fits):
+    for seed in range(100_000):
+        rng = random.Random(seed)
+        n = rng.randrange(6, 40)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(n, 3 * n))]
+        if fits(*brute_labels(edges)):
+            return edges
+    raise AssertionError("no such graph")
+
+
+@pytest.mark.parametrize("kind", ["late rest", "swap"])
+def test_communities_come_to_rest(spark, kind):
+    edges = graph_where((lambda a, b, n: a != b) if kind == "swap" else (lambda a, b, n: a == b and n > 10))
+    a, b, _ = brute_labels(edges)
+    df = spark.createDataFrame(edges, "source bigint, target bigint")
+    out = {r.node: (r.community, r.settled) for r in graph.communities(df).collect()}
+    assert out == {v: (min(a[v], b[v]), a[v] == b[v]) for v in a}
+    if kind == "late rest":
+        with pytest.raises(RuntimeError):
+            graph.communities(df, 3)
+
+
+def test_pagerank_comes_to_rest(spark):
+    n = 9
+    edges = [(i, i + 1) for i in range(n - 2)] + [(n - 2, 0), (3, n - 1)]  # a long ring and a dead end
+    out = defaultdict(set)
+    for a, b in edges:
+        out[a].add(b)
+    ranks = [1 / n] * n
+    for _ in range(3000):
+        lost = sum(ranks[v] for v in range(n) if v not in out)
+        ranks = [0.15 / n + 0.85 * (lost / n + sum(ranks[u] / len(out[u]) for u in out if v in out[u])) for v in range(n)]
+    links, nodes = spark.createDataFrame(edges, "source bigint, target bigint"), spark.range(n).withColumnRenamed("id", "node")
+    got = {r.node: r["rank"] for r in graph.pagerank(links, nodes).collect()}
+    assert all(abs(got[v] - ranks[v]) < 1e-10 for v in range(n)) and abs(sum(got.values()) - 1) < 1e-9
+    with pytest.raises(RuntimeError):
+        graph.pagerank(links, nodes, most=20)
