@@ -20,9 +20,10 @@ def p1_found(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p1_normalized(spark: SparkSession, where: str) -> DataFrame:
-    """Every distinct stored entity with the form that it shows."""
-    entities = table(spark, where, "transactions").select("entity").filter("entity is not null").distinct()
-    return normalize_text(entities, "entity", "visible_form")
+    """Every distinct stored value of either field with the form that it shows."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("entity")) for f in ("entity", "entity_normalized")))
+    values = table(spark, where, "transactions").select(F.inline(fields)).filter("entity is not null").distinct()
+    return normalize_text(values, "entity", "visible_form")
 
 
 def p6_ids(spark: SparkSession, where: str) -> DataFrame:

@@ -116,3 +116,12 @@ def test_pagerank_comes_to_rest(spark):
     assert all(abs(got[v] - ranks[v]) < 1e-10 for v in range(n)) and abs(sum(got.values()) - 1) < 1e-9
     with pytest.raises(RuntimeError):
         graph.pagerank(links, nodes, most=20)
+
+
+def test_both_fields_get_their_visible_form(spark, tmp_path):
+    queries = pytest.importorskip("loomgrain.llm.queries")
+    rows = [("a", "\u0430"), ("a", "b"), (None, "b"), ("\uff41", None)]
+    spark.createDataFrame(rows, "entity string, entity_normalized string").write.parquet(str(tmp_path / "transactions.parquet"))
+    found = queries.p1_normalized(spark, str(tmp_path)).collect()
+    assert sorted((r.field_name, r.entity) for r in found) == [("entity", "a"), ("entity", "\uff41"), ("entity_normalized", "b"), ("entity_normalized", "\u0430")]
+    assert len({r.visible_form for r in found if r.entity != "b"}) == 1
