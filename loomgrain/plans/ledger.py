@@ -126,6 +126,7 @@ QUERIES = {
     "unknown_ci_files": lambda s, d: table(s, d, "ci_outcome_history").join(table(s, d, "project_files").select(F.col("id").alias("ci_file_id")), "ci_file_id", "left_anti").groupBy("ci_file_id").agg(F.count("*").alias("n")),
     "untested_files": lambda s, d: table(s, d, "project_files").select("id").join(table(s, d, "test_mapping").select(F.col("tested_file_id").alias("id")), "id", "left_anti"),
     "test_predictions": lambda s, d: table(s, d, "test_mapping").select("tested_file_id", "test_file_id").distinct().join(table(s, d, "project_files").filter("language = 'rust'").select(F.col("id").alias("tested_file_id")), "tested_file_id", "left_semi"),
+    "test_predictions_all": lambda s, d: table(s, d, "test_mapping").select("tested_file_id", "test_file_id").distinct().join(table(s, d, "project_files").select(F.col("id").alias("tested_file_id")), "tested_file_id", "left_semi"),
     "files_by_mappings": lambda s, d: table(s, d, "project_files").select("id", "file_path").join(table(s, d, "test_mapping").groupBy(F.col("tested_file_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "id").limit(10),
     "structural_coupling": lambda s, d: roles.calls(s, d).join(roles.symbols(s, d).select(F.col("symbol_id").alias("source"), F.col("file").alias("from_file")), "source", "left").join(roles.symbols(s, d).filter("kind = 'PROMO'").select(F.col("symbol_id").alias("target"), F.col("file").alias("to_file")), "target").select("from_file", "to_file").filter("from_file is null or from_file <> to_file").distinct(),
     "hash_changes": lambda s, d: table(s, d, "project_files").select("file_path", "content_hash").join(table(s, d, "project_files").filter("parser_version = '2'").select("file_path", "content_hash"), ["file_path", "content_hash"], "left_anti"),

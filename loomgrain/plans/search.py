@@ -92,6 +92,7 @@ QUERIES = {
     "literal_lines": lambda s, d: x.regex_lines(_docs(s, d), LITERAL),
     "code_words": lambda s, d: table(s, d, "ledger_entries").filter("entity is not null").select("id", F.array_join(t.code_words(F.col("entity")), " ").alias("words")).distinct(),
     "vocabulary": lambda s, d: x.vocabulary(_docs(s, d).select("doc_id", F.col("heading").alias("text"))),
+    "text_vocabulary": lambda s, d: x.vocabulary(_docs(s, d).select("doc_id", "text")),
     "bm25_search": lambda s, d: x.ranked_search(_docs(s, d), TERMS, 50),
     "fuzzy_words": lambda s, d: x.fuzzy_words(_docs(s, d), "scheduler"),
     "phrase_search": lambda s, d: x.phrase_search(_docs(s, d), "doc_id", "text", ["at", "the", "end", "of", "the", "sprint"]),

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from loomgrain.operators import graph, nested
+from loomgrain.plans import registry
 
 ROUTED = {
     "schemaVersion": "v1",
@@ -125,3 +126,16 @@ def test_both_fields_get_their_visible_form(spark, tmp_path):
     found = queries.p1_normalized(spark, str(tmp_path)).collect()
     assert sorted((r.field_name, r.entity) for r in found) == [("entity", "a"), ("entity", "\uff41"), ("entity_normalized", "b"), ("entity_normalized", "\u0430")]
     assert len({r.visible_form for r in found if r.entity != "b"}) == 1
+
+
+def test_predictions_and_words_of_whole_tables(spark, tmp_path):
+    tables = {
+        "test_mapping": spark.createDataFrame([(1, 9), (1, 9), (2, 9), (3, 9), (None, 9)], "tested_file_id bigint, test_file_id bigint"),
+        "project_files": spark.createDataFrame([(1, "rust"), (2, None)], "id bigint, language string"),
+        "documents": spark.createDataFrame([(1, "head", "alphaBeta beta"), (2, None, "beta"), (3, "x", None)], "doc_id bigint, heading string, text string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    run = lambda name: sorted(tuple(r[c] for c in sorted(r.asDict())) for r in registry.queries()[name](spark, str(tmp_path)).collect())
+    assert run("test_predictions_all") == [(9, 1), (9, 2)]
+    assert run("text_vocabulary") == [(1, "alpha"), (2, "beta")]
