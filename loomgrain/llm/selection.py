@@ -1,215 +1,254 @@
 """Exact percentiles of very large columns by distributed multi-select (problem 3).
 
-The values of each group and day are kept as sorted runs, none longer than one task can hold. Selection
-goes over the runs in rounds: every run proposes the median of what is left of it, the weighted median of
-the proposals becomes the group's pivot, values below, at and above it are counted, and the ranges that
-can't hold the wanted rank are discarded. The runs of the days are all that the percentiles over all days
-are made from; the days' own percentiles are the first proposals and bounds.
+The values of each group and day are kept as sorted runs, one for each block of rows of a partition. Selection
+goes over the runs in rounds: every run of a range proposes the medians of itself and of its halves, the weighted
+medians of the proposals become the range's pivots, the values below, at and above each pivot are counted, the
+parts that hold no wanted rank are discarded, and the others are the ranges of the next round, until every rank
+is found. All groups of any size go through the rounds. The runs of the days are all that the percentiles over
+all days are made from, and the days' own percentiles are the first pivots there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgrain.cluster import broadcast_if, cut
+from loomgrain.cluster import cut
 
-#: A partition's values of a group become a run of their own from this size on; smaller ones are joined by group.
-OWN_RUN = 4096
-#: Rows sorted at once inside a partition.
+#: Rows sorted at once inside a partition, and so the greatest length of a run.
 BLOCK_ROWS = 1_000_000
-#: Once no more than so many values of a group are left in a range they are looked at directly.
-LAST_VALUES = 4096
+#: Ranges of at most 150 bytes each that are broadcast to the runs (15 MB); more are joined by a shuffle.
+BROADCAST_RANGES = 100_000
+#: Tasks over which the runs of one range are dealt where they are shuffled.
+SHARES = 32
+#: Places of a run's proposals, in parts of its length: its median and those of its halves.
+PROPOSED = (2, 1, 3)
+#: Pivots that a range may have; the parts of range t are numbered from t * PARTS.
+PARTS = 256
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    codes = column.dictionary_encode(null_encoding="encode")
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    return codes.indices.to_numpy(zero_copy_only=False)
+
+
+def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def sorted_runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys and run: sorted array<bigint>. Rows of null value are left out, null keys are groups of their own.
+    """keys, task and run: sorted array<bigint> of at most BLOCK_ROWS values, made where the rows are; nothing is moved.
 
-    Each partition sorts its rows by group first; a group's large local runs stay as they are, so that a
-    hot group is spread over as many rows as partitions, and its small ones are put together.
+    Rows of null value are left out, null keys are groups of their own. A group has as many runs as blocks of
+    rows that it occurs in, so a hot group is spread as its rows are.
     """
     rows = df.select(*keys, F.col(value).cast("bigint").alias("__v")).filter("__v is not null")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
 
-    def block(batches: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(batches)
+    def block(whole: pa.Table) -> pa.RecordBatch:
         whole = whole.take(pc.sort_indices(whole, sort_keys=[(c, "ascending") for c in [*keys, "__v"]])).combine_chunks()
         n = whole.num_rows
         new = np.zeros(n, bool)
         new[0] = True
         for k in keys:
-            codes = whole.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
-            codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
-            codes = codes.indices.to_numpy(zero_copy_only=False)
+            codes = _codes(_one(whole.column(k)))
             new[1:] |= codes[1:] != codes[:-1]
         begins = np.flatnonzero(new)
-        offsets = np.append(begins, n).astype(np.int32)
-        sizes = np.diff(offsets)
-        partition = TaskContext.get().partitionId() if TaskContext.get() else 0
-        salt = np.where(sizes >= OWN_RUN, (partition << 24) + number + 1, 0)
-        values = whole.column("__v").combine_chunks()
-        values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
-        heads = [whole.column(k).combine_chunks().take(pa.array(begins)) for k in keys]
-        heads = [h.combine_chunks() if isinstance(h, pa.ChunkedArray) else h for h in heads]
-        return pa.RecordBatch.from_arrays([*heads, pa.array(salt.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*keys, "salt", "run"])
-
-    def local(batches):
-        held, size, number = [], 0, 0
+        offsets = pa.array(np.append(begins, n).astype(np.int32))
+        heads = [_one(_one(whole.column(k)).take(pa.array(begins))) for k in keys]
+        task = pa.array(np.full(len(begins), TaskContext.get().partitionId() if TaskContext.get() else 0, np.int32))
+        return pa.RecordBatch.from_arrays([*heads, task, pa.ListArray.from_arrays(offsets, _one(whole.column("__v")))], names=[*keys, "task", "run"])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
+            while size + batch.num_rows >= BLOCK_ROWS:
+                held.append(batch.slice(0, BLOCK_ROWS - size))
+                batch = batch.slice(BLOCK_ROWS - size)
+                yield block(pa.Table.from_batches(held))
+                held, size = [], 0
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
-            if size >= BLOCK_ROWS:
-                yield block(held, number)
-                held, size, number = [], 0, number + 1
         if held:
-            yield block(held, number)
+            yield block(pa.Table.from_batches(held))
 
-    runs = rows.mapInArrow(local, f"{fields + ', ' if fields else ''}salt bigint, run array<bigint>")
-    return runs.groupBy(*keys, "salt").agg(F.sort_array(F.flatten(F.collect_list("run"))).alias("run")).drop("salt")
+    return rows.mapInArrow(local, f"{fields}task int, run array<bigint>")
 
 
-def _with_targets(runs: DataFrame, targets: DataFrame, keys: Sequence[str], n_targets: int) -> DataFrame:
-    """runs with their group's targets; the small side is broadcast where its counted size allows."""
-    right = broadcast_if(targets.select(*(F.col(k).alias(f"__{k}") for k in keys), *[c for c in targets.columns if c not in keys]), n_targets)
-    on = F.lit(True)
-    for k in keys:
-        on = on & runs[k].eqNullSafe(F.col(f"__{k}"))
-    return runs.join(right, on).drop(*(f"__{k}" for k in keys))
+def _attach(runs: DataFrame, ranges: DataFrame, n_ranges: int, on: Sequence[str]) -> DataFrame:
+    """runs (with task) joined with their ranges; beyond BROADCAST_RANGES the runs of a range are dealt over SHARES tasks."""
+    right = ranges.select(*(F.col(k).alias(f"__{k}") for k in on), *[c for c in ranges.columns if c not in on])
+    same = F.lit(True)
+    for k in on:
+        same = same & runs[k].eqNullSafe(F.col(f"__{k}"))
+    if n_ranges <= BROADCAST_RANGES:
+        right = F.broadcast(right)
+    else:
+        right = right.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        same = same & (F.pmod(runs["task"], F.lit(SHARES)) == F.col("__share"))
+    return runs.join(right, same).drop("__share", *(f"__{k}" for k in on))
 
 
-def _round(joined: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For each run and target: values below and at the pivot, and the medians of what is left on either side."""
-    types = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
-    numbers = ["p", "below", "at", "median_low", "n_low", "median_high", "n_high"]
+def _bisect(flat: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
+    """For each wanted value its place in flat[low:high], all searched at once."""
+    low, high = low.copy(), high.copy()
+    while (going := np.flatnonzero(low < high)).size:
+        middle = (low[going] + high[going]) >> 1
+        over = flat[middle] <= wanted[going] if right else flat[middle] < wanted[going]
+        low[going[over]] = middle[over] + 1
+        high[going[~over]] = middle[~over]
+    return low
 
-    def run(batches):
-        for batch in batches:
-            column = batch.column(len(keys))
-            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-            which, out = [], []
-            for i, targets in enumerate(batch.column(len(keys) + 1).to_pylist()):
-                own = values[offsets[i] : offsets[i + 1]]
-                p, pivot = (np.array([t[k] for t in targets], np.int64) for k in ("p", "pivot"))
-                # a null bound, next to the type's own bounds, is no bound
-                a = np.array([0 if t["low"] is None else own.searchsorted(t["low"], "right") for t in targets], np.int64)
-                b = np.array([len(own) if t["high"] is None else own.searchsorted(t["high"], "left") for t in targets], np.int64)
-                left, right = np.clip(own.searchsorted(pivot, "left"), a, b), np.clip(own.searchsorted(pivot, "right"), a, b)
-                top = len(own) - 1
-                which.extend([i] * len(p))
-                out.append(np.stack([p, left - a, right - left, own[np.clip((a + left - 1) // 2, 0, top)], left - a, own[np.clip((right + b - 1) // 2, 0, top)], b - right]))
-            table = np.concatenate(out, axis=1) if out else np.zeros((7, 0), np.int64)
-            heads = [batch.column(k).take(pa.array(which, pa.int64())) for k in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*heads, *(pa.array(x.astype(np.int64)) for x in table)], names=[*keys, *numbers])
-
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"{n} bigint" for n in numbers)])
-    counted = joined.select(*keys, "run", "targets").mapInArrow(run, schema)
-    middle = lambda v, n: F.floor(F.percentile(F.when(F.col(n) > 0, F.col(v)), F.lit(0.5), F.greatest(F.col(n), F.lit(1)))).cast("bigint")
-    return counted.groupBy(*keys, "p").agg(
-        F.sum("below").alias("below"),
-        F.sum("at").alias("at"),
-        F.sum("n_low").alias("n_low"),
-        F.sum("n_high").alias("n_high"),
-        middle("median_low", "n_low").alias("pivot_low"),
-        middle("median_high", "n_high").alias("pivot_high"),
-    )
 
+def count_three_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tid, run, pivots → part, task, at, run: each run's values between neighbouring pivots, and how many equal the pivot above.
+
+    Part k of range t, numbered t * PARTS + k, lies below pivot k and above pivot k - 1. Runs of the same range that
+    come together are one run.
+    """
+    task = TaskContext.get().partitionId() if TaskContext.get() else 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        runs, pivots = batch.column(1), batch.column(2)
+        tids, first, which = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+        of = np.repeat(which, np.diff(runs.offsets.to_numpy()))
+        flat = runs.flatten().to_numpy(zero_copy_only=False)
+        order = np.lexsort((flat, of))
+        flat = flat[order]
+        ends = np.cumsum(np.bincount(of, minlength=len(tids)))
+        begins = np.append(0, ends[:-1])
+        # the pivots of each range, once
+        n_pivots = np.diff(pivots.offsets.to_numpy())[first]
+        wanted = pivots.take(pa.array(first)).flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(tids)), n_pivots)
+        left, right = (_bisect(flat, begins[owner], ends[owner], wanted, side) for side in (False, True))
+        # part k goes from the place after pivot k - 1 to that of pivot k
+        n_parts = n_pivots + 1
+        part_first = np.cumsum(n_parts) - n_parts
+        part_owner = np.repeat(np.arange(len(tids)), n_parts)
+        number = np.arange(len(part_owner)) - part_first[part_owner]
+        slot = np.arange(len(owner)) + owner
+        part_begin, part_end, at = begins[part_owner], ends[part_owner], np.zeros(len(part_owner), np.int64)
+        part_end[slot], part_begin[slot + 1], at[slot] = left, right, right - left
+        kept = np.flatnonzero((part_end > part_begin) | (at > 0))
+        sizes = (part_end - part_begin)[kept]
+        offsets = np.append(0, np.cumsum(sizes))
+        inside = np.repeat(part_begin[kept] - offsets[:-1], sizes) + np.arange(offsets[-1])
+        part = tids[part_owner[kept]] * PARTS + number[kept]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part), pa.array(np.full(len(kept), task, np.int32)), pa.array(at[kept]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat[inside]))],
+            names=["part", "task", "at", "run"],
+        )
+
+
+def _weighted_medians(proposals: str, weight: str) -> Column:
+    """The weighted median of each proposed place: the first value that at least half of the weight doesn't exceed."""
+
+    def median(k: int) -> str:
+        ordered = f"array_sort(transform({proposals}, x -> struct(get(x.m, {k}) as v, x.w as w)))"
+        step = f"(s, x) -> struct(s.w + x.w as w, if(s.w * 2 < {weight}, x.v, s.v) as v)"
+        return f"aggregate({ordered}, struct(0L as w, cast(null as bigint) as v), {step}, s -> s.v)"
 
-def _rest(joined: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The wanted value among the few that are left, for each target."""
-    inside = F.filter("run", lambda x: F.coalesce(x > F.col("t.low"), F.lit(True)) & F.coalesce(x < F.col("t.high"), F.lit(True)))
-    left = joined.withColumn("t", F.explode("targets")).select(*keys, F.col("t.p").alias("p"), F.col("t.skip").alias("skip"), inside.alias("few")).filter(F.size("few") > 0)
-    return left.groupBy(*keys, "p", "skip").agg(F.sort_array(F.flatten(F.collect_list("few"))).alias("few")).select(*keys, "p", F.get("few", (F.col("skip") - 1).cast("int")).alias("value"))
+    return F.expr(f"array({', '.join(map(median, range(len(PROPOSED))))})")
 
 
-def multi_select(runs: DataFrame, keys: Sequence[str], percents: Sequence[int], guesses: DataFrame | None = None) -> DataFrame:
+def _next_ranges(parts: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The parts that hold wanted ranks, with their pivots, and the values found at pivots.
+
+    Proposals are put together in two steps, by stretches of tasks and then by part, so that no list is long.
+    """
+    size = F.size("run").cast("bigint")
+    proposed = F.when(F.size("run") > 0, F.struct(F.array(*(F.get("run", F.floor(size * k / 4).cast("int")) for k in PROPOSED)).alias("m"), size.alias("w")))
+    first = parts.groupBy("part", F.floor(F.col("task") / 64).alias("stretch")).agg(
+        F.sum(size).alias("inside"), F.sum("at").alias("at"), F.min(F.get("run", F.lit(0))).alias("least"), F.max(F.get("run", F.size("run") - 1)).alias("most"), F.collect_list(proposed).alias("proposed")
+    )
+    medians = F.when(F.col("inside") > 0, F.struct(_weighted_medians("proposed", "inside").alias("m"), F.col("inside").alias("w")))
+    first = first.select(F.expr(f"part div {PARTS}").alias("tid"), "part", "inside", "at", "least", "most", medians.alias("proposed")).repartition("tid")
+    each = first.groupBy("tid", "part").agg(F.sum("inside").alias("inside"), F.sum("at").alias("at"), F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list("proposed").alias("proposed"))
+    earlier = F.sum(F.col("inside") + F.col("at")).over(W.partitionBy("tid").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    placed = state.select("tid", *keys, "n", "targets", "pivots").join(each.withColumn("under", F.coalesce(earlier, F.lit(0))), "tid")
+    targets = F.expr("transform(filter(targets, t -> t.skip > under and t.skip <= under + inside), t -> struct(t.p as p, t.skip - under as skip))")
+    found = F.expr("transform(filter(targets, t -> t.skip > under + inside and t.skip <= under + inside + at), t -> t.p)")
+    kept = placed.select(*keys, "n", "part", "inside", "least", "most", "proposed", targets.alias("targets"), found.alias("found"), F.get("pivots", F.expr(f"cast(part % {PARTS} as int)")).alias("value"))
+    kept = kept.filter("size(targets) > 0 or size(found) > 0")
+    # the middle of the range is a pivot too: so any range is halved, however its values are spread
+    middle = F.expr("least + (most div 2 - least div 2)")
+    pivots = F.array_sort(F.array_distinct(F.array_append(_weighted_medians("proposed", "inside"), middle)))
+    return kept.select(F.monotonically_increasing_id().alias("tid"), "part", *keys, "n", "targets", "found", "value", F.when(F.size("targets") > 0, pivots).alias("pivots"))
+
+
+def multi_select(runs: DataFrame, keys: Sequence[str], percents: Sequence[int], pivots: DataFrame | None = None, gather: int | None = None, rounds: list[int] | None = None) -> DataFrame:
     """keys, p, value, n: for each group and percent the value of rank ceil(p n / 100), exactly.
 
-    runs: keys and run, as by sorted_runs(), cut off from their lineage. guesses: keys, p, value, n of
-    parts of the groups; their least and greatest values bound the search and their weighted median is
-    the first pivot. A group whose values are one run is answered by its rank at once. Equal values are
-    no problem: all values at the pivot are counted as such. An empty table gives no rows.
+    runs: keys, task and run, as by sorted_runs(), cut off from their lineage. pivots: keys and pivots, a
+    sorted array of less than PARTS values with which a group begins; a group without begins with none. gather:
+    if given, the runs of each group are moved once, into so many tasks for each million of its values and
+    four at least, so that short runs of one group lie together. rounds: a list that gets the number of open ranges of
+    each round. Equal values are no problem: all values at a pivot are counted as such. Null keys are groups of
+    their own. An empty table gives no rows.
     """
     keys = list(keys)
-    sizes = runs.groupBy(*keys).agg(F.sum(F.size("run")).alias("n"), F.count("*").alias("n_runs"), F.min(F.get("run", F.lit(0))).alias("least"), F.max(F.element_at("run", -1)).alias("most"), F.any_value("run").alias("run"))
-    wanted = sizes.select("*", F.explode(F.array(*(F.lit(p).cast("bigint") for p in percents))).alias("p"))
-    wanted = wanted.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("p") / 100)).cast("bigint"))
-    single = wanted.filter("n_runs = 1").select(*keys, "p", F.get("run", (F.col("rank") - 1).cast("int")).alias("value"), "n")
-    state = wanted.filter("n_runs > 1").select(*keys, "p", "n", F.col("rank").alias("skip"), "least", "most", F.try_subtract("least", F.lit(1)).alias("low"), F.try_add("most", F.lit(1)).alias("high"), F.col("n").alias("left"))
-    if guesses is None:
-        state = state.withColumn("pivot", F.expr("least div 2 + most div 2"))
+    sizes = runs.groupBy(*keys).agg(F.sum(F.size("run")).cast("bigint").alias("n"))
+    rank = lambda p: F.greatest(F.lit(1).cast("bigint"), F.expr(f"(n * {p} + 99) div 100"))
+    state = sizes.select("*", F.array(*(F.struct(F.lit(p).cast("bigint").alias("p"), rank(p).alias("skip")) for p in percents)).alias("targets"))
+    none = F.array().cast("array<bigint>")
+    if pivots is None:
+        state = state.withColumn("pivots", none)
     else:
-        # the wanted value lies between the least and the greatest of the parts' values for the same percent
-        bound = guesses.groupBy(*keys, "p").agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("middle"), F.min("value").alias("from"), F.max("value").alias("to"))
-        bound = bound.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("p").alias("__p"), "middle", "from", "to")
-        on = F.col("p") == F.col("__p")
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        state = state.join(bound, on, "left").withColumn("pivot", F.greatest(F.least(F.floor(F.coalesce("middle", "least")).cast("bigint"), F.coalesce("to", "most")), F.coalesce("from", "least")))
-    state = cut(state.select(*keys, "p", "n", "skip", "low", "high", "left", "pivot", F.lit(None).cast("bigint").alias("value")))
-    answers = [single]
-    few = []
-    while (open_targets := state.count()) > 0:
-        targets = state.groupBy(*keys).agg(F.collect_list(F.struct("p", "low", "high", "pivot")).alias("targets"))
-        seen = _round(_with_targets(runs, targets, keys, open_targets), keys)
-        seen = seen.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("p").alias("__p"), "below", "at", "n_low", "n_high", "pivot_low", "pivot_high")
-        on = F.col("p") == F.col("__p")
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        under, over = F.col("skip") <= F.col("below"), F.col("skip") > F.col("below") + F.col("at")
-        narrowed = state.join(seen, on).select(
-            *keys,
-            "p",
-            "n",
-            F.when(over, F.col("skip") - F.col("below") - F.col("at")).otherwise(F.col("skip")).alias("skip"),
-            F.when(over, F.col("pivot")).otherwise(F.col("low")).alias("low"),
-            F.when(under, F.col("pivot")).otherwise(F.col("high")).alias("high"),
-            F.col("left").alias("before"),
-            F.when(over, F.col("n_high")).otherwise(F.col("n_low")).alias("left"),
-            F.when(over, F.col("pivot_high")).otherwise(F.col("pivot_low")).alias("pivot"),
-            F.when(~under & ~over, F.col("pivot")).alias("value"),
-        )
-        # a pivot in doubles may miss the range of huge values; halving the range always ends
-        halved = F.coalesce(F.expr("low div 2 + high div 2"), F.lit(0))
-        narrowed = cut(narrowed.withColumn("pivot", F.when(F.col("left") < F.col("before"), F.col("pivot")).otherwise(halved)).drop("before"))
-        answers.append(narrowed.filter("value is not null").select(*keys, "p", "value", "n"))
-        few.append(narrowed.filter(F.col("value").isNull() & (F.col("left") <= LAST_VALUES)))
-        state = cut(narrowed.filter(F.col("value").isNull() & (F.col("left") > LAST_VALUES)))
-    if few:
-        last = few[0]
-        for x in few[1:]:
-            last = last.unionAll(x)
-        last = cut(last)
-        targets = last.groupBy(*keys).agg(F.collect_list(F.struct("p", "skip", "low", "high")).alias("targets"))
-        found = _rest(_with_targets(runs, targets, keys, last.count()), keys)
-        sizes_of = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), "n")
         on = F.lit(True)
         for k in keys:
             on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        answers.append(found.join(sizes_of, on).select(*keys, "p", "value", "n"))
+        state = state.join(pivots.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("pivots").alias("__pivots")), on, "left").withColumn("pivots", F.coalesce("__pivots", none)).drop("__pivots", *(f"__{k}" for k in keys))
+    state = cut(state.select(F.monotonically_increasing_id().alias("tid"), *keys, "n", "targets", "pivots").observe(seen := Observation(), F.count("*").alias("n_open")))
+    n_open = seen.get["n_open"]
+    held = _attach(runs, state.select(*keys, "tid", "pivots", "n"), n_open, keys)
+    if gather:
+        share = F.pmod(F.col("task"), F.greatest(F.lit(4), F.ceil(F.col("n") * gather / 1_000_000))).cast("int")
+        held = held.withColumn("share", share).repartition("tid", "share").sortWithinPartitions("tid")
+    answers = [state.limit(0).select(*keys, F.lit(None).cast("bigint").alias("p"), F.lit(None).cast("bigint").alias("value"), "n")]
+    while n_open:
+        if rounds is not None:
+            rounds.append(n_open)
+        parts = cut(held.select("tid", "run", "pivots").mapInArrow(count_three_ways, "part bigint, task int, at bigint, run array<bigint>"))
+        after = cut(_next_ranges(parts, state, keys).observe(seen := Observation(), F.count_if(F.size("targets") > 0).alias("n_open")))
+        answers.append(after.filter("size(found) > 0").select(*keys, F.explode("found").alias("p"), "value", "n"))
+        state = after.filter("size(targets) > 0")
+        n_open = seen.get["n_open"]
+        held = _attach(parts, state.select("part", "tid", "pivots"), n_open, ["part"])
     out = answers[0]
     for a in answers[1:]:
         out = out.unionAll(a)
     return out
 
 
-def percentiles_by_day(df: DataFrame, keys: Sequence[str], day: str, value: str, percents: Sequence[int] = (50, 90, 95, 99)) -> DataFrame:
+def percentiles_by_day(df: DataFrame, keys: Sequence[str], day: str, value: str, percents: Sequence[int] = (50, 90, 95, 99), rounds: dict[str, list[int]] | None = None) -> DataFrame:
     """scope ('day' or 'all'), keys, day, p, value, n and rank_error for each group, by day and over all days.
 
     value is the one of rank ceil(p n / 100) among the n values that aren't null. rank_error is the stated
     bound on the difference from that rank: 0, for the selection is exact. A null key, and a null day, is
-    a group of its own; groups of one value have it as every percentile.
+    a group of its own; groups of one value have it as every percentile. rounds gets the numbers of open ranges.
     """
     keys = list(keys)
+    if 3 * len(percents) >= PARTS:
+        raise ValueError(f"less than {PARTS // 3} percents at once")
+    rounds = {} if rounds is None else rounds
     runs = cut(sorted_runs(df, [*keys, day], value))
-    by_day = cut(multi_select(runs, [*keys, day], percents))
-    overall = multi_select(runs.select(*keys, "run"), keys, percents, guesses=by_day)
+    by_day = cut(multi_select(runs, [*keys, day], percents, gather=1, rounds=rounds.setdefault("day", [])))
+    # most of a percentile's mass over all days lies near the middle of the days' own values for it
+    near = by_day.groupBy(*keys, "p").agg(F.percentile("value", [0.1, 0.5, 0.9], F.col("n")).alias("near"))
+    near = near.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("near", lambda x: F.floor(x).cast("bigint")))))).alias("pivots"))
+    overall = multi_select(runs, keys, percents, pivots=near, rounds=rounds.setdefault("all", []))
     kind = df.schema[day].dataType
     out = [by_day.select(F.lit("day").alias("scope"), *keys, day, "p", "value", "n"), overall.select(F.lit("all").alias("scope"), *keys, F.lit(None).cast(kind).alias(day), "p", "value", "n")]
     return out[0].unionAll(out[1]).withColumn("rank_error", F.lit(0).cast("bigint"))

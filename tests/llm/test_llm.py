@@ -136,11 +136,11 @@ def brute_percentiles(rows, percents):
     return {(s, k, d, p, sorted(v)[max(1, math.ceil(len(v) * p / 100)) - 1], len(v)) for (s, k, d), v in groups.items() for p in percents}
 
 
-@pytest.mark.parametrize("own_run,last", [(4096, 4096), (8, 3)])
-def test_percentiles_equal_sorting(spark, monkeypatch, own_run, last):
-    monkeypatch.setattr(selection, "OWN_RUN", own_run)
-    monkeypatch.setattr(selection, "LAST_VALUES", last)
-    rng = random.Random(own_run)
+@pytest.mark.parametrize("block,broadcast", [(1_000_000, 100_000), (8, 0)])
+def test_percentiles_equal_sorting(spark, monkeypatch, block, broadcast):
+    monkeypatch.setattr(selection, "BLOCK_ROWS", block)
+    monkeypatch.setattr(selection, "BROADCAST_RANGES", broadcast)
+    rng = random.Random(block)
     rows = [("hot" if rng.random() < 0.5 else rng.choice(["a", None, "b"]), f"d{rng.randrange(3)}", rng.choice([None, 0, 5, rng.randrange(10**6), int(rng.paretovariate(0.3)) % 10**15])) for _ in range(900)]
     rows += [("single", "d0", 7), ("nulls", "d0", None), ("ties", "d1", 4), ("ties", "d1", 4), ("edge", None, -(1 << 63)), ("edge", None, (1 << 63) - 1)]
     df = spark.createDataFrame(rows, "k string, day string, v bigint").repartition(3)
@@ -206,3 +206,23 @@ def test_gather_of_nothing():
     enc = bpe.Encoder(bpe.load_ranks(bpe.VOCABULARY))
     assert enc.gather(np.zeros(0, np.int64)).tolist() == []
     assert [x.tolist() for x in enc.encode_many([])] == [[0], []]
+
+
+def test_runs_stay_within_their_bound_and_every_group_goes_through_rounds(spark, monkeypatch):
+    monkeypatch.setattr(selection, "BLOCK_ROWS", 6)
+    df = spark.range(4000).select(F.lit("hot").alias("k"), F.lit("d").alias("day"), F.pmod(F.xxhash64("id"), F.lit(10**15)).alias("v")).repartition(40)
+    sizes = [r.n for r in selection.sorted_runs(df, ["k", "day"], "v").select(F.size("run").alias("n")).collect()]
+    assert max(sizes) == 6 and sum(sizes) == 4000
+    rounds = {}
+    got = {(r.scope, r.p): r.value for r in selection.percentiles_by_day(df, ["k"], "day", "v", (50, 99), rounds).collect()}
+    v = sorted(r.v for r in df.collect())
+    assert got == {(s, p): v[4000 * p // 100 - 1] for s in ("day", "all") for p in (50, 99)}
+    assert len(rounds["day"]) > 3 and rounds["all"]
+
+
+def test_percentiles_of_huge_values(spark):
+    v = [-(2**63), 2**63 - 1, 0, 2**62, 2**62 + 1, 2**62 + 2, -1, -(2**63) + 1] * 3
+    df = spark.createDataFrame([(None, "d", x) for x in v], "k string, day string, v bigint").repartition(3)
+    got = {(r.scope, r.p): r.value for r in selection.percentiles_by_day(df, ["k"], "day", "v", (1, 50, 75, 100)).collect()}
+    s = sorted(v)
+    assert got == {(x, p): s[max(1, math.ceil(24 * p / 100)) - 1] for x in ("day", "all") for p in (1, 50, 75, 100)}
