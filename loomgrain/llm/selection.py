@@ -1,7 +1,7 @@
 """Exact percentiles of very large columns by distributed multi-select (problem 3).
 
 The values of each group and day are kept as sorted runs, one for each block of rows of a partition. Selection
-goes over the runs in rounds: every run of a range proposes the medians of itself and of its halves, the weighted
+goes over the runs in rounds: every run of a range proposes the medians of itself, of its halves and of their halves, the weighted
 medians of the proposals become the range's pivots, the values below, at and above each pivot are counted, the
 parts that hold no wanted rank are discarded, and the others are the ranges of the next round, until every rank
 is found. All groups of any size go through the rounds. The runs of the days are all that the percentiles over
@@ -28,8 +28,10 @@ BLOCK_ROWS = 1_000_000
 BROADCAST_RANGES = 100_000
 #: Tasks over which the runs of one range are dealt where they are shuffled.
 SHARES = 32
-#: Places of a run's proposals, in parts of its length: its median and those of its halves.
-PROPOSED = (2, 1, 3)
+#: Places of a run's proposals, in eighths of its length: its median, those of its halves and of their halves.
+PROPOSED = (4, 2, 6, 1, 3, 5, 7)
+#: Shares of the days' weight at which a percentile over all days gets its first pivots.
+NEAR = (0.02, 0.2, 0.4, 0.5, 0.6, 0.8, 0.98)
 #: Pivots that a range may have; the parts of range t are numbered from t * PARTS.
 PARTS = 256
 
@@ -160,7 +162,7 @@ def _weighted_medians(proposals: str, weight: str) -> Column:
         step = f"(s, x) -> struct(s.w + x.w as w, if(s.w * 2 < {weight}, x.v, s.v) as v)"
         return f"aggregate({ordered}, struct(0L as w, cast(null as bigint) as v), {step}, s -> s.v)"
 
-    return F.expr(f"array({', '.join(map(median, range(len(PROPOSED))))})")
+    return F.expr(f"if(size({proposals}) = 1, {proposals}[0].m, array({', '.join(map(median, range(len(PROPOSED))))}))")
 
 
 def _next_ranges(parts: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -169,7 +171,7 @@ def _next_ranges(parts: DataFrame, state: DataFrame, keys: Sequence[str]) -> Dat
     Proposals are put together in two steps, by stretches of tasks and then by part, so that no list is long.
     """
     size = F.size("run").cast("bigint")
-    proposed = F.when(F.size("run") > 0, F.struct(F.array(*(F.get("run", F.floor(size * k / 4).cast("int")) for k in PROPOSED)).alias("m"), size.alias("w")))
+    proposed = F.when(F.size("run") > 0, F.struct(F.array(*(F.get("run", F.floor(size * k / 8).cast("int")) for k in PROPOSED)).alias("m"), size.alias("w")))
     first = parts.groupBy("part", F.floor(F.col("task") / 64).alias("stretch")).agg(
         F.sum(size).alias("inside"), F.sum("at").alias("at"), F.min(F.get("run", F.lit(0))).alias("least"), F.max(F.get("run", F.size("run") - 1)).alias("most"), F.collect_list(proposed).alias("proposed")
     )
@@ -240,13 +242,13 @@ def percentiles_by_day(df: DataFrame, keys: Sequence[str], day: str, value: str,
     a group of its own; groups of one value have it as every percentile. rounds gets the numbers of open ranges.
     """
     keys = list(keys)
-    if 3 * len(percents) >= PARTS:
-        raise ValueError(f"less than {PARTS // 3} percents at once")
+    if len(NEAR) * len(percents) >= PARTS:
+        raise ValueError(f"less than {PARTS // len(NEAR)} percents at once")
     rounds = {} if rounds is None else rounds
     runs = cut(sorted_runs(df, [*keys, day], value))
     by_day = cut(multi_select(runs, [*keys, day], percents, gather=1, rounds=rounds.setdefault("day", [])))
     # most of a percentile's mass over all days lies near the middle of the days' own values for it
-    near = by_day.groupBy(*keys, "p").agg(F.percentile("value", [0.1, 0.5, 0.9], F.col("n")).alias("near"))
+    near = by_day.groupBy(*keys, "p").agg(F.percentile("value", list(NEAR), F.col("n")).alias("near"))
     near = near.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("near", lambda x: F.floor(x).cast("bigint")))))).alias("pivots"))
     overall = multi_select(runs, keys, percents, pivots=near, rounds=rounds.setdefault("all", []))
     kind = df.schema[day].dataType
