@@ -1,6 +1,6 @@
 """Deeply nested JSON records as flat tables with parent-child links (problem 5).
 
-Each record is parsed as a stream of events with an explicit stack, so depth is no limit. Values come
+Each record is parsed as a stream with an explicit stack, so depth is no limit. Values come
 out as path-value-ordinal triples; triples are grouped by their repeated ancestor, which is the deepest
 list on their path, and each group is pivoted into one table: a column for each field of the shape and a map
 of all others. Lists that have no table of their own come out item by item in one further table.
@@ -8,7 +8,6 @@ of all others. Lists that have no table of their own come out item by item in on
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,15 +22,15 @@ from pyspark.sql import functions as F
 from loomgrain.cluster import spread
 
 _SPACE = re.compile(r"[ \t\n\r]*")
-_SCALAR = re.compile(r"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null)(?![\w.+-])")
-
-
-#: An object that names its schema first is a root by itself.
-_PLAIN_ROOT = re.compile(r'[ \t\n\r]*\{[ \t\n\r]*"schema_?version"', re.IGNORECASE)
-
-
-#: Levels below which an object or list comes out as one triple with its JSON text; the tables of a shape lie far above.
-MAX_DEPTH = 96
+_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
+_SCALAR = re.compile(rf"({_NUMBER}|true|false|null)(?![\w.+-])")
+#: A member of an object whose name and value need no unescaping, up to the comma or brace behind it.
+_MEMBER = re.compile(rf'[ \t\n\r]*"([^"\\\x00-\x1f]*)"[ \t\n\r]*:[ \t\n\r]*(?:"([^"\\\x00-\x1f]*)"|({_NUMBER}|true|false|null))[ \t\n\r]*([,}}])')
+_SURROGATE = re.compile("[\ud800-\udfff]")
+#: What may stand around a text without being part of it: white space and a byte order mark.
+_AROUND = "﻿ \t\n\r"
+#: Levels up to which an object's own path is kept; the paths of deeper values are put together when asked for.
+_KEPT_LEVELS = 32
 
 
 class NotJson(ValueError):
@@ -42,62 +41,77 @@ class NotJson(ValueError):
 def plain_name(name: str) -> str:
     """A name as all its spellings have it in common: stalenessTier and staleness_tier give stalenesstier.
 
-    A name's own [] is written [\\], so that it is no list's.
+    A name's own [] is written [\\], so that it is no list's; a lone surrogate is written as U+FFFD.
     """
-    return name.replace("_", "").lower().replace("[]", "[\\]")
+    return _text(name.replace("_", "").lower().replace("[]", "[\\]"))
+
+
+def _text(value: str) -> str:
+    return _SURROGATE.sub("�", value)
+
+
+class Triple(NamedTuple):
+    """path: plain names joined by dots, [] after each list; ordinals: the position in each of these lists."""
+
+    path: str
+    value: str | None
+    ordinals: tuple[int, ...]
+    kind: str  # object, list, string, number, boolean, null
+
+
+def _string(text: str, at: int) -> tuple[str, int]:
+    try:
+        return scanstring(text, at, True)
+    except ValueError as e:
+        raise NotJson(str(e)) from None
 
 
-def events(text: str) -> Iterator[tuple[str, object]]:
-    """("{" or "[" or "}" or "]", None), ("key", name) and ("value", scalar) in the order of the text.
+def events(text: str) -> Iterator[tuple[str, str | None, int, int]]:
+    """(event, value, begin, end) in the order of the text.
 
-    Raises NotJson where text isn't one complete value; events may have been given before.
+    event is "{", "[", "}", "]", "key", or a scalar's kind: string, number, boolean or null; begin and end are
+    its places in text. Raises NotJson where text isn't one complete value; events may have been given before.
     """
     skip, at, n = _SPACE.match, 0, len(text)
-    stack: list[str] = []
     at = skip(text, at).end()
-    state = "value"
+    stack: list[str] = []
+    state = "value"  # value, first (in an object or list that has just begun), key, after
     while True:
-        if at >= n:
-            raise NotJson("it ends early")
-        c = text[at]
-        if state == "value" or (state == "first" and not (c == "]" and stack[-1] == "[") and stack[-1] == "["):
+        c = text[at : at + 1]
+        if state == "value" or (state == "first" and stack[-1] == "[" and c != "]"):
             if c == "{" or c == "[":
-                yield c, None
+                yield c, None, at, at + 1
                 stack.append(c)
                 at = skip(text, at + 1).end()
                 state = "first"
                 continue
+            begin = at
             if c == '"':
-                try:
-                    value, at = scanstring(text, at + 1, True)
-                except ValueError as e:
-                    raise NotJson(str(e)) from None
-                yield "value", value
+                value, at = _string(text, at + 1)
+                yield "string", value, begin, at
             else:
                 m = _SCALAR.match(text, at)
                 if not m:
                     raise NotJson(f"no value at {at}")
-                word, at = m[0], m.end()
-                yield "value", {"null": None, "true": True, "false": False}.get(word, word) if word[0] in "ntf" else Number(word)
+                at = m.end()
+                yield ("null", None, begin, at) if c == "n" else ("boolean" if c in "tf" else "number", m[0], begin, at)
             state = "after"
         elif state in ("first", "key") and stack[-1] == "{" and c == '"':
-            try:
-                name, at = scanstring(text, at + 1, True)
-            except ValueError as e:
-                raise NotJson(str(e)) from None
+            begin = at
+            name, at = _string(text, at + 1)
+            yield "key", name, begin, at
             at = skip(text, at).end()
             if text[at : at + 1] != ":":
                 raise NotJson(f"no colon at {at}")
-            yield "key", name
             at = skip(text, at + 1).end()
             state = "value"
             continue
-        elif state in ("first", "after") and c == ("}" if stack[-1] == "{" else "]"):
+        elif state in ("first", "after") and stack and c == ("}" if stack[-1] == "{" else "]"):
             stack.pop()
-            yield c, None
+            yield c, None, at, at + 1
             at += 1
             state = "after"
-        elif state == "after" and c == ",":
+        elif state == "after" and stack and c == ",":
             at = skip(text, at + 1).end()
             state = "key" if stack[-1] == "{" else "value"
             continue
@@ -110,93 +124,127 @@ def events(text: str) -> Iterator[tuple[str, object]]:
             return
 
 
-class Number(str):
-    """A number as written."""
+class _Level:
+    """An object or list that is open: its path, and that of its items if it is a list."""
 
+    __slots__ = ("above", "name", "own", "ordinals", "count", "is_list", "depth")
 
-class Triple(NamedTuple):
-    """path: plain names joined by dots, [] after each list; ordinals: the position in each of these lists."""
-
-    path: str
-    value: str | None
-    ordinals: tuple[int, ...]
-    kind: str  # object, list, string, number, boolean, null, json
+    def __init__(self, above: _Level | None, name: str, own: str | None, ordinals: tuple[int, ...], is_list: bool) -> None:
+        self.above, self.name, self.own, self.ordinals, self.is_list, self.count = above, name, own, ordinals, is_list, -1
+        self.depth = 0 if above is None else above.depth + 1
 
-
-def _rest(stream: Iterator[tuple[str, object]], opening: str) -> str:
-    """The JSON text of the object or list that has just begun in the stream."""
-    out, level, last = [opening], 1, opening
-    while level:
-        event, value = next(stream)
-        if event in "}]":
-            level -= 1
-            out.append(event)
-        else:
-            if last not in ("{", "[", "key"):
-                out.append(",")
-            if event == "key":
-                out.append(json.dumps(value, ensure_ascii=False) + ":")
-            elif event == "value":
-                out.append(value if isinstance(value, Number) else json.dumps(value, ensure_ascii=False))
-            else:
-                level += 1
-                out.append(event)
-        last = event
-    return "".join(out)
+    def path(self) -> str:
+        if self.own is not None:
+            return self.own
+        names, level = [], self
+        while level is not None and level.own is None:
+            names.append(level.name)
+            level = level.above
+        return (level.own if level is not None else "") + "".join(reversed(names))
 
 
 def triples(text: str, lists: frozenset[str] = frozenset(), only: frozenset[str] | None = None) -> Iterator[Triple]:
     """The path-value-ordinal triples of a record, all or those of the paths in `only`.
 
-    Each object, each list and each scalar gives one. At a path in `lists` a lone object stands for a
+    Each object, each list and each scalar gives one, at any depth. At a path in `lists` a lone object stands for a
     list with it as its item at 0. Raises NotJson at the place where text isn't JSON.
     """
-    stream = events(text)
-    path, ordinals = "", ()
-    stack: list[tuple[str, str, tuple]] = []  # kind, path of the items or fields, ordinals
-    counts: list[int] = []
-    for event, value in stream:
-        if event == "key":
-            own = stack[-1][1]
-            path = f"{own}.{plain_name(value)}" if own else plain_name(value)
-            continue
-        if event in "}]":
-            stack.pop()
-            counts.pop()
+    deepest = _KEPT_LEVELS if only is None else max((p.count(".") + p.count("[]") for p in only), default=0) + 1
+    skip, member, at, n = _SPACE.match, _MEMBER.match, 0, len(text)
+    at = skip(text, at).end()
+    level: _Level | None = None
+    name, state = "", "value"
+    while True:
+        if level is not None and not level.is_list and state in ("first", "key"):
+            # members of plain scalars, one match each
+            base = level.own
+            while m := member(text, at):
+                at = m.end()
+                if only is None or (base is not None and level.depth <= deepest):
+                    key, word = plain_name(m[1]), m[3]
+                    path = (f"{base}.{key}" if base else key) if base is not None else f"{level.path()}.{key}"
+                    if only is None or path in only:
+                        if word is None:
+                            yield Triple(path, _text(m[2]), level.ordinals, "string")
+                        elif word == "null":
+                            yield Triple(path, None, level.ordinals, "null")
+                        else:
+                            yield Triple(path, word, level.ordinals, "boolean" if word[0] in "tf" else "number")
+                state = "key"
+                if m[4] == "}":
+                    level = level.above
+                    state = "after"
+                    break
+            at = skip(text, at).end()
+            if state == "after":
+                if level is None:
+                    if at < n:
+                        raise NotJson(f"more text at {at}")
+                    return
+                continue
+        c = text[at : at + 1]
+        if state == "value" or (state == "first" and level.is_list and c != "]"):
+            if level is None:
+                name, ordinals = "", ()
+            elif level.is_list:
+                level.count += 1
+                name, ordinals = "", (*level.ordinals, level.count)
+            else:
+                ordinals = level.ordinals
+            asked = only is None or level is None or level.depth < deepest
+            path = None
+            if asked and (level is None or level.own is not None or c not in "{["):
+                base = "" if level is None else level.path()
+                path = base + name if base else name[1:]
+            if c == "{" or c == "[":
+                if path is not None and c == "{" and path in lists:
+                    path, ordinals, name = path + "[]", (*ordinals, 0), name + "[]"
+                if asked and (only is None or path in only):
+                    yield Triple(path if path is not None else level.path() + name, None, ordinals, "object" if c == "{" else "list")
+                if c == "[":
+                    name += "[]"
+                    path = None if path is None else path + "[]"
+                kept = path if level is None or level.depth < _KEPT_LEVELS else None
+                level = _Level(level, name, kept, ordinals, c == "[")
+                at = skip(text, at + 1).end()
+                state = "first"
+                continue
+            if c == '"':
+                value, at = _string(text, at + 1)
+                kind, value = "string", _text(value)
+            else:
+                m = _SCALAR.match(text, at)
+                if not m:
+                    raise NotJson(f"no value at {at}")
+                at = m.end()
+                kind, value = ("null", None) if c == "n" else ("boolean" if c in "tf" else "number", m[0])
+            if asked and (only is None or path in only):
+                yield Triple(path, value, ordinals, kind)
+            state = "after"
+        elif state in ("first", "key") and not level.is_list and c == '"':
+            key, at = _string(text, at + 1)
+            name = "." + plain_name(key)
+            at = skip(text, at).end()
+            if text[at : at + 1] != ":":
+                raise NotJson(f"no colon at {at}")
+            at = skip(text, at + 1).end()
+            state = "value"
             continue
-        if not stack:
-            ordinals = ()
-        elif stack[-1][0] == "[":
-            counts[-1] += 1
-            path, ordinals = stack[-1][1], (*stack[-1][2], counts[-1])
-        else:
-            ordinals = stack[-1][2]
-        if event in "{[" and len(stack) > MAX_DEPTH:
-            rest = _rest(stream, event)
-            if only is None or path in only:
-                yield Triple(path, rest, ordinals, "json")
-        elif event == "{":
-            if path in lists:
-                path, ordinals = path + "[]", (*ordinals, 0)
-            if only is None or path in only:
-                yield Triple(path, None, ordinals, "object")
-            stack.append(("{", path, ordinals))
-            counts.append(-1)
-        elif event == "[":
-            if only is None or path in only:
-                yield Triple(path, None, ordinals, "list")
-            stack.append(("[", path + "[]", ordinals))
-            counts.append(-1)
-        elif only is not None and path not in only:
+        elif state in ("first", "after") and level is not None and c == ("]" if level.is_list else "}"):
+            level = level.above
+            at += 1
+            state = "after"
+        elif state == "after" and level is not None and c == ",":
+            at = skip(text, at + 1).end()
+            state = "value" if level.is_list else "key"
             continue
-        elif isinstance(value, Number):
-            yield Triple(path, str(value), ordinals, "number")
-        elif value is None:
-            yield Triple(path, None, ordinals, "null")
-        elif isinstance(value, bool):
-            yield Triple(path, str(value).lower(), ordinals, "boolean")
         else:
-            yield Triple(path, value, ordinals, "string")
+            raise NotJson(f"unexpected {c!r} at {at}")
+        at = skip(text, at).end()
+        if level is None:
+            if at < n:
+                raise NotJson(f"more text at {at}")
+            return
 
 
 @dataclass(frozen=True)
@@ -204,23 +252,22 @@ class Shape:
     """What a record's root looks like, and which of its lists become tables.
 
     tables: table name → path of its list, such as changes[].symbols[]. fields: paths under each item that become columns; others go to a map.
-    marks: names of which a root has one at least. wraps: names under which a wrapper holds the root.
+    names: further names that a root has; an object with `enough` of them is a root even without a list of the tables.
     """
 
     tables: dict[str, str]
     fields: dict[str, tuple[str, ...]]
-    marks: tuple[str, ...]
-    wraps: tuple[str, ...]
+    names: frozenset[str]
+    enough: int = 4
 
     @property
     def lists(self) -> frozenset[str]:
         return frozenset(p[: i] for p in self.tables.values() for i in range(len(p)) if p.startswith("[]", i))
 
-
     @property
-    def paths(self) -> list[str]:
-        """The paths of the tables' items and of their fields."""
-        return [p for table, path in self.tables.items() for p in (path, *(f"{path}.{f}" for f in self.fields[table]))]
+    def tops(self) -> frozenset[str]:
+        """The names of the lists that a root itself holds."""
+        return frozenset(p[:-2] for p in self.tables.values() if p.count("[]") == 1)
 
     def covers(self, path: str) -> bool:
         """Whether the path is that of a table's item or lies below one."""
@@ -241,57 +288,77 @@ PACKET = Shape(
         "decision": ("filepath", "heading", "excerpt", "similarity", "rerankscore", "stalenesstier", "stalenessdays"),
         "route": ("method", "path", "pathpattern", "handlersymbolname", "framework", "routesource", "mountprefix", "isdynamic", "routeconfidence", "evidence", "owningservice"),
     },
-    ("schemaversion", "changes", "relevantdecisions"),
-    ("packet", "payload", "impactpacket", "data", "body", "document", "record", "value", "json"),
+    frozenset(("schemaversion", "timestamputc", "headhash", "branchname", "treeclean", "risklevel", "riskreasons", "temporalcouplings", "hotspots", "knowledgegraph", "sdkdependenciesdelta")),
 )
 
 
-def unwrap(text: str, shape: Shape) -> tuple[str, str] | None:
-    """The text of the root and its path in it, through any layers of wrapping objects, one-item lists and JSON text in strings.
+class _Parsed:
+    """A JSON text as its events, with the place of each opening's closing."""
 
-    None if there is no root. Raises NotJson. A byte order mark and white space around a text don't count.
-    """
-    for _ in range(64):
-        text = text.strip("﻿ \t\n\r")
-        found = list(triples(text))
-        kinds: dict[str, tuple[str, str | None]] = {}
-        for t in found:
-            if not any(t.ordinals):
-                kinds.setdefault(t.path, (t.kind, t.value))
-        if kinds[""][0] == "string":
-            text = kinds[""][1]
-            continue
-        layer = ""
-        for _ in range(64):
-            if kinds.get(layer, ("",))[0] == "list":
-                if layer + "[]" not in kinds:
-                    return None
-                layer += "[]"
+    def __init__(self, text: str) -> None:
+        self.text, self.events, self.close = text, list(events(text)), {}
+        opened = []
+        for i, e in enumerate(self.events):
+            if e[0] in "{[":
+                opened.append(i)
+            elif e[0] in "}]":
+                self.close[opened.pop()] = i
+
+    def children(self, i: int) -> Iterator[tuple[str | None, int]]:
+        """(plain name, place) of each member or item of the object or list at i."""
+        at, end, name = i + 1, self.close[i], None
+        while at < end:
+            event, value, _, _ = self.events[at]
+            if event == "key":
+                name = plain_name(value)
+                at += 1
                 continue
-            if kinds.get(layer, ("",))[0] != "object":
-                break
-            under = [p for p in kinds if p.startswith(layer) and p != layer and "." not in p[len(layer) :].lstrip(".") and "[" not in p[len(layer) :]]
-            names = {p[len(layer) :].lstrip("."): p for p in under}
-            inner = next((names[w] for w in shape.wraps if w in names and kinds[names[w]][0] in ("object", "string", "list") and _holds(kinds, names[w])), None)
-            if inner is None or shape.marks[0] in names:
-                if any(m in names for m in shape.marks):
-                    return text, layer
-                # a wrapper of another name: the shallowest object below that has the first mark
-                marked = [p for p in kinds if p.startswith(layer) and p.endswith("." + shape.marks[0]) and "[" not in p[len(layer) :]]
-                if not marked:
-                    return None
-                return text, min(marked, key=lambda p: (p.count("."), p)).rpartition(".")[0]
-            layer = inner
-        if kinds.get(layer, ("",))[0] == "string":
-            text = kinds[layer][1]
-            continue
-        return None
-    return None
+            yield name, at
+            at = self.close.get(at, at) + 1
 
+    def span(self, i: int) -> str:
+        return self.text[self.events[i][2] : self.events[self.close[i]][3]]
 
-def _holds(kinds: dict[str, tuple[str, str | None]], path: str) -> bool:
-    kind, value = kinds[path]
-    return kind != "string" or (value or "").lstrip("﻿ \t\n\r")[:1] in ("{", "[", '"')
+
+def _may_be_json(value: str) -> bool:
+    return value.lstrip(_AROUND)[:1] in ("{", "[", '"')
+
+
+def find_root(text: str, shape: Shape) -> str | None:
+    """The text of the root, wherever it lies in objects, lists and JSON text in strings; None if there is none.
+
+    The layers are searched from the outside, each in the order of the text. A root is an object with a list of
+    the shape's tables that holds objects (or a lone object in its place), or with enough of the shape's names. Only if there is none, an
+    object counts that has such a list of anything else but null. Raises NotJson if text itself isn't JSON.
+    """
+    layer = [(_Parsed(text.strip(_AROUND)), 0)]
+    weak = None
+    while layer:
+        below = []
+        for parsed, i in layer:
+            event, value, _, _ = parsed.events[i]
+            if event == "string":
+                if _may_be_json(value):
+                    try:
+                        below.append((_Parsed(value.strip(_AROUND)), 0))
+                    except NotJson:
+                        pass
+                continue
+            if event not in "{[":
+                continue
+            inside = list(parsed.children(i))
+            if event == "{":
+                for name, k in inside:
+                    kind = parsed.events[k][0]
+                    if name in shape.tops and kind != "null":
+                        if kind == "{" or (kind == "[" and any(parsed.events[x][0] == "{" for _, x in parsed.children(k))):
+                            return parsed.span(i)
+                        weak = weak or (parsed, i)
+                if len({name for name, _ in inside} & shape.names) >= shape.enough:
+                    return parsed.span(i)
+            below.extend((parsed, k) for _, k in inside if parsed.events[k][0] in "{[" or parsed.events[k][0] == "string")
+        layer = below
+    return weak[0].span(weak[1]) if weak else None
 
 
 def record_triples(text: str | None, shape: Shape, only: frozenset[str] | None = None, owners: frozenset[str] | None = None) -> list[Triple]:
@@ -302,23 +369,24 @@ def record_triples(text: str | None, shape: Shape, only: frozenset[str] | None =
     if not text:
         return []
     try:
-        root = (text, "") if _PLAIN_ROOT.match(text) else unwrap(text, shape)
-        if root is None:
-            return []
-        text, layer = root
-        depth = layer.count("[]")
-        prefix = layer + "." if layer else ""
-        wanted = None if only is None else frozenset(prefix + p for p in only)
+        text = text.strip(_AROUND)
+        asked = None if only is None else only | {top + "[]" for top in shape.tops} | shape.names
+        found = list(triples(text, shape.lists, asked))
+        # most texts are roots themselves, which shows in their triples; all others are searched
+        items = {top + "[]" for top in shape.tops}
+        if not any(t.kind == "object" and t.path in items for t in found) and len({t.path for t in found} & shape.names) < shape.enough:
+            root = find_root(text, shape)
+            if root is None:
+                return []
+            found = triples(root, shape.lists, only)
         kept: dict[str, bool] = {}
         out = []
-        for t in triples(text, frozenset(prefix + p for p in shape.lists), wanted):
-            if any(t.ordinals[:depth]):
-                continue
-            own = t.path[len(prefix) :]
+        for t in found:
+            own = t.path
             if own not in kept:
-                kept[own] = t.path.startswith(prefix) and shape.covers(own) and (owners is None or owner(own) in owners)
+                kept[own] = shape.covers(own) and (owners is None or owner(own) in owners) and (only is None or own in only)
             if kept[own] and (own.endswith("[]") or t.kind not in ("object", "list")):
-                out.append(Triple(own, t.value, t.ordinals[depth:], t.kind))
+                out.append(t)
         return out
     except NotJson:
         return []

@@ -54,15 +54,66 @@ def test_flat_tables_hold_every_field(spark):
     }
 
 
-def test_values_below_the_deepest_level_keep_their_text():
-    deep = value = {"n": -1.50, "l": [1, "ä\"", {}, [], None, {"b": True}]}
-    for _ in range(2 * nested.MAX_DEPTH):
-        deep = {"d": deep}
-    last = nested.record_triples(json.dumps({"schemaVersion": "v1", "changes": [{"x": deep}]}), nested.PACKET)[-1]
-    got = json.loads(last.value)
-    while "d" in got:
-        got = got["d"]
-    assert last.kind == "json" and got == value
+@pytest.mark.parametrize("depth", [1, 31, 32, 33, 500, 5000])
+def test_values_at_any_depth_have_their_path(depth):
+    below = "changes[].x" + ".d" * depth
+    text = "{" + '"changes":[{"x":' + '{"d":' * depth + json.dumps({"n": -1.50, "l": [1, {"b": True}, {}], "k\n": "s"}) + "}" * depth + "}]}"
+    got = {(t.path, t.value, t.ordinals, t.kind) for t in nested.record_triples(text, nested.PACKET)}
+    assert got == {
+        ("changes[]", None, (0,), "object"),
+        (below + ".n", "-1.5", (0,), "number"),
+        (below + ".l[]", "1", (0, 0), "number"),
+        (below + ".l[]", None, (0, 1), "object"),
+        (below + ".l[].b", "true", (0, 1), "boolean"),
+        (below + ".l[]", None, (0, 2), "object"),
+        (below + ".k\n", "s", (0,), "string"),
+    }
+
+
+SMALL = {"changes": [{"path": "b"}]}
+
+
+def wrap_in(kind, times):
+    text = json.dumps(SMALL)
+    for _ in range(times):
+        text = {"object": '{"any": %s}', "list": "[null, 1, %s]"}[kind] % text if kind != "string" else json.dumps({"Any": text}) if len(text) < 500 else '{"x": %s}' % text
+    return text
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        wrap_in("object", 64),
+        wrap_in("object", 3000),
+        wrap_in("list", 3000),
+        wrap_in("string", 100),
+        json.dumps({"schemaVersion": "2", "payload": SMALL}),
+        json.dumps({"schema_version": 2, "packet": {"schemaVersion": "1", **SMALL}}),
+        json.dumps({**SMALL, "data": {"k": 1}}),
+        json.dumps({**SMALL, "value": "{not json", "body": "[1]", "payload": {"changes": [{"path": "decoy"}, {"path": "decoy"}]}}),
+        json.dumps({"whatever": json.dumps(SMALL)}),
+        json.dumps({"whatever": [SMALL]}),
+        json.dumps([None, {"meta": 1}, json.dumps([SMALL])]),
+        json.dumps({"changes": [], "inner": {"changes": ["x"], "inner": SMALL}}),
+        "\ufeff " + json.dumps("\ufeff" + json.dumps(SMALL)),
+    ],
+)
+def test_a_packet_is_found_in_any_wrapping(text):
+    got = [t for t in nested.record_triples(text, nested.PACKET)]
+    assert [(t.path, t.value, t.ordinals) for t in got] == [("changes[]", None, (0,)), ("changes[].path", "b", (0,))]
+    only = frozenset(["changes[]", "changes[].path"])
+    assert nested.record_triples(text, nested.PACKET, only=only) == got
+
+
+def test_lists_elsewhere_in_a_packet_do_not_count():
+    text = json.dumps({"schemaVersion": "v1", "headHash": "h", "branchName": "b", "riskLevel": "low", "knowledgeGraph": {"changes": [{"path": "decoy"}]}})
+    assert nested.record_triples(text, nested.PACKET) == []
+    assert nested.record_triples(json.dumps({"changes": ["x", None]}), nested.PACKET)[0].value == "x"
+
+
+def test_lone_surrogates_are_replaced():
+    got = nested.record_triples('{"changes":[{"path":"a\\ud800b","\\udfff":"x"}]}', nested.PACKET)
+    assert [(t.path, t.value) for t in got] == [("changes[]", None), ("changes[].path", "a\ufffdb"), ("changes[].\ufffd", "x")]
 
 
 def brute_labels(edges):
