@@ -13,13 +13,16 @@ from loomgrain.sources.tables import micros, table
 MAX_GAP_US = 259_200_000_000
 
 
+def _references(spark: SparkSession, where: str) -> list[DataFrame]:
+    return [table(spark, where, n) for n in ("ledger_entries", "transactions", "tx_tombstones", "test_mapping", "project_files")]
+
+
 def p2_found(spark: SparkSession, where: str) -> DataFrame:
-    t = {n: table(spark, where, n) for n in ("ledger_entries", "transactions", "tx_tombstones", "test_mapping", "project_files")}
-    return references.all_orphans(t["ledger_entries"], t["transactions"], t["tx_tombstones"], t["test_mapping"], t["project_files"])
+    return references.all_orphans(*_references(spark, where))
 
 
 def p2_report(spark: SparkSession, where: str) -> DataFrame:
-    return references.orphan_report(p2_found(spark, where))
+    return references.orphan_report(*_references(spark, where))
 
 
 def _spans(spark: SparkSession, where: str) -> DataFrame:
