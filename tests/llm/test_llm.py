@@ -226,3 +226,27 @@ def test_percentiles_of_huge_values(spark):
     got = {(r.scope, r.p): r.value for r in selection.percentiles_by_day(df, ["k"], "day", "v", (1, 50, 75, 100)).collect()}
     s = sorted(v)
     assert got == {(x, p): s[max(1, math.ceil(24 * p / 100)) - 1] for x in ("day", "all") for p in (1, 50, 75, 100)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_array_is_in_full_order(seed):
+    rng = np.random.default_rng(seed)
+    flat = rng.integers(0, [2, 3, 5, 50, 70_000, 2][seed], 400)
+    if seed == 5:
+        flat = np.append(np.tile(np.append(np.ones(60, int), [2, 3]), 5), 0)
+    flat = np.append(flat, 0).astype(np.int64)
+    ends = np.flatnonzero(flat == 0)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(flat))
+    suffix = lambda i: tuple(flat[i : i + left[i]].tolist())
+    got = leakage.suffix_array(flat, left).tolist()
+    assert got == sorted((i for i in range(len(flat)) if left[i]), key=lambda i: (suffix(i), i))
+
+
+def test_leaks_of_dealt_items_equal_broadcast_ones(spark, monkeypatch):
+    rng = random.Random(3)
+    make = lambda n, size: [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, size)))) for i in range(n)]
+    d, i = spark.createDataFrame(make(80, 60), "doc_id bigint, text string"), spark.createDataFrame(make(30, 20), "item_id bigint, text string")
+    near = sorted(map(tuple, leakage.find_matches(d, i, min_words=4).collect()))
+    monkeypatch.setattr(leakage, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(leakage, "HELD_BYTES", 1000)
+    assert near and sorted(map(tuple, leakage.find_matches(d, i, min_words=4).collect())) == near
