@@ -4,6 +4,7 @@ import base64
 import math
 import random
 import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -250,3 +251,44 @@ def test_leaks_of_dealt_items_equal_broadcast_ones(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(leakage, "HELD_BYTES", 1000)
     assert near and sorted(map(tuple, leakage.find_matches(d, i, min_words=4).collect())) == near
+
+
+#: For each script a word of letters of it alone, and the Latin text that it shows.
+WHOLE_SCRIPT = {
+    "Cyrillic": ("сора", "copa"), "Greek": ("ΝΟΤΕ", "NOTE"), "Armenian": ("սոհ", "unh"), "Cherokee": ("ᎡᎪᏴ", "RAB"), "Coptic": ("ⲞⲤ", "OC"),
+    "Hebrew": ("סס", "oo"), "Arabic": ("هه", "oo"), "Devanagari": ("००", "oo"), "Telugu": ("౦౦", "oo"), "Lao": ("໐໐", "oo"), "Myanmar": ("ဝဝ", "oo"),
+    "Tifinagh": ("ⵔⴹ", "OE"), "Lisu": ("ꓡꓳꓖ", "LOG"), "Canadian_Aboriginal": ("ᐯᑭᒪ", "VPL"), "Deseret": ("𐐬𐐬", "oo"), "Georgian": ("ყ", "y"),
+}
+
+
+@pytest.fixture(scope="module")
+def looks(spark):
+    return confusables.Looks(*confusables.public_looks(spark).value)
+
+
+@pytest.mark.parametrize("script", WHOLE_SCRIPT)
+def test_whole_script_words_show_latin_ones(looks, script):
+    import regex
+
+    word, shown = WHOLE_SCRIPT[script]
+    assert regex.fullmatch(rf"\p{{scx={script}}}+", word)
+    assert confusables.visible_form(word, looks) == shown
+    assert confusables.visible_form(f"src/{word}.rs", looks) == f"src/{shown}.rs"
+
+
+def test_public_groups_keep_apart_what_is_seen(looks):
+    groups = set(looks.alike.values())
+    for g in groups:
+        assert sum(c.isascii() for c in g) <= 1, g
+        assert not any(c.lower() != c and c.lower() in g and c.lower() in confusables.public_groups({})[0][0] for c in g)
+    for a, b in [("l", "I"), ("l", "1"), ("O", "0"), ("o", "O"), ("i", "ı"), ("з", "3"), ("б", "6"), ("/", "\\"), ("v", "V"), ("rn", "m"), ("|", "l"), ("a.b", "a,b")]:
+        assert confusables.visible_form(a + "é", looks) != confusables.visible_form(b + "é", looks), (a, b)
+    assert len(looks.alike) > 1000
+
+
+def test_each_public_letter_gets_its_group(spark, looks):
+    skeleton = confusables.skeletons(spark)
+    listed = [c for c, s in skeleton.items() if s.isascii() and s.isalpha() and s not in "lO" and unicodedata.category(c) in ("Ll", "Lu", "Lo") and c not in confusables.NOT_ALIKE]
+    odd = [c for c in listed if confusables.visible_form(c, looks) != skeleton[c]]
+    # letters in both cases, of which the small one stays
+    assert len(listed) > 300 and len(odd) <= 8, odd
