@@ -10,12 +10,16 @@ again costs one dictionary lookup.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import os
 import re
+from pathlib import Path
 
 import numpy as np
 import regex
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 #: Fixed value: the pattern by which the vocabulary's texts are cut before merging.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -27,10 +31,14 @@ KEPT_CHUNKS = 400_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def parse_ranks(lines: bytes) -> dict[bytes, int]:
+    """Token bytes → rank, of a base64 token and its rank on each line."""
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines.splitlines() if line.strip())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes → rank, of a file with a base64 token and its rank on each line."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    """The ranks of a vocabulary file."""
+    return parse_ranks(Path(path).read_bytes())
 
 
 class PairIndex:
@@ -231,12 +239,22 @@ class Encoder:
         return np.array([int(self.length[n].sum()) for n in each], np.int64)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
+_SHIPPED: dict[tuple[str, str], Broadcast] = {}
+
+
+def shipped(spark: SparkSession, path: str = VOCABULARY) -> Broadcast:
+    """The vocabulary file's bytes, read on the driver and broadcast once in an application; executors need no copy of the file."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(path))
+    if key not in _SHIPPED:
+        _SHIPPED[key] = spark.sparkContext.broadcast(Path(path).read_bytes())
+    return _SHIPPED[key]
 
 
-def encoder(path: str = VOCABULARY) -> Encoder:
-    """This process's encoder for a vocabulary file."""
-    key = os.path.abspath(path)
+def encoder(vocabulary: str | bytes = VOCABULARY) -> Encoder:
+    """This process's encoder for a vocabulary file's path or bytes."""
+    lines = vocabulary if isinstance(vocabulary, bytes) else Path(vocabulary).read_bytes()
+    key = hashlib.sha256(lines).digest()
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(load_ranks(key))
+        _ENCODERS[key] = Encoder(parse_ranks(lines))
     return _ENCODERS[key]

@@ -23,8 +23,10 @@ def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     kind = df.schema[id_column].dataType
 
+    shared = bpe.shipped(df.sparkSession, vocabulary)
+
     def run(batches):
-        enc = bpe.encoder(vocabulary)
+        enc = bpe.encoder(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             at = 0

@@ -68,9 +68,13 @@ class Layout:
     def between_characters(self, at: int, low: int) -> int:
         """The nearest place at or before `at`, not before low, that parts no visible character from its marks."""
         place = at
-        while place > low and at - place < 64 and (_JOINED.match(self.text, place) or self.text[place - 1] == "\u200d"):
+        while place > low and self.parts_marks(place):
             place -= 1
-        return at if _JOINED.match(self.text, place) else place
+        return at if self.parts_marks(place) else place
+
+    def parts_marks(self, at: int) -> bool:
+        """Whether a cut there parts a visible character from its marks."""
+        return bool(_JOINED.match(self.text, at)) or self.text[at - 1 : at] == "\u200d"
 
     def snap(self, target: int, low: int, high: int) -> int:
         """The strongest boundary in [low, high], of equal ones the nearest to target; target if there is none."""
@@ -79,22 +83,37 @@ class Layout:
             return self.between_characters(min(max(target, low), high), low)
         return min(near, key=lambda p: (-self.strength[p], abs(p - target), p))
 
+    def last_resort(self, before: int, start: int, overlap: int, low: int, high: int) -> int | None:
+        """Where [low, high] has no boundary: the strongest one before it, of equal ones the last, behind the last piece's end and the repeated part."""
+        first = bisect.bisect_left(self.places, low)
+        if bisect.bisect_right(self.places, min(high, len(self.text) - 1)) > first:
+            return None
+        least = max(before, self.char_at(self.token_at(start) + overlap))
+        return max(self.places[bisect.bisect_right(self.places, least) : first], key=lambda p: (self.strength[p], p), default=None)
+
     def cut(self, pieces: int, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
         """(start, end, end's strength, characters repeated) of each piece."""
         out = []
         start, repeated, end = 0, 0, 0
-        core = (self.total - overlap) / pieces
+        laid, done, core = float(overlap), 0, (self.total - overlap) / pieces
         for k in range(1, pieces + 1):
             before = end
             if k == pieces:
                 end, kind = len(self.text), PARAGRAPH
             else:
-                target = overlap + core * k
+                target = laid + core * (k - done)
                 first = self.token_at(start)
                 slack = min(core / 2, max(0.0, first + limit - 2 - target))
                 low = max(self.char_at(target - min(core / 2, max(slack, core / 4))), before + 1)
                 high = max(low, self.char_at(target + slack))
-                end = self.snap(max(low, min(self.char_at(target), high)), low, min(high, len(self.text) - 1))
+                last = self.last_resort(before, start, overlap, low, high)
+                if last is None:
+                    end = self.snap(max(low, min(self.char_at(target), high)), low, min(high, len(self.text) - 1))
+                else:
+                    # the rest is laid out anew from there
+                    end = last
+                    laid, done = self.token_at(end), k
+                    core = (self.total - laid) / (pieces - k)
                 kind = self.strength.get(end, 0)
             out.append((start, end, kind, repeated))
             tokens = self.token_at(end) - overlap
@@ -102,6 +121,8 @@ class Layout:
             low = max(low, start + 1)
             start = self.snap(max(low, self.char_at(tokens)), low, max(low, min(high, end - 1))) if overlap else end
             start = min(start, end)
+            while start < end and self.parts_marks(start):
+                start += 1  # no place before it near enough: less is repeated
             repeated = end - start
         return out
 
@@ -149,8 +170,10 @@ def split_oversized(
     kind = df.schema[id_column].dataType.simpleString()
     names = [id_column, "piece_no", "n_pieces", "doc_tokens", "start_char", "end_char", "n_tokens", "boundary", "overlap_chars", "piece"]
 
+    shared = bpe.shipped(df.sparkSession, vocabulary)
+
     def run(batches):
-        enc = bpe.encoder(vocabulary)
+        enc = bpe.encoder(shared.value)
         for batch in batches:
             ids, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

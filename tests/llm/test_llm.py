@@ -292,3 +292,24 @@ def test_each_public_letter_gets_its_group(spark, looks):
     odd = [c for c in listed if confusables.visible_form(c, looks) != skeleton[c]]
     # letters in both cases, of which the small one stays
     assert len(listed) > 300 and len(odd) <= 8, odd
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_pieces_end_at_boundaries_before_an_unbroken_run(seed):
+    rng = random.Random(seed)
+    enc = bpe.encoder()
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma."]) for _ in range(n))
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.choice([300, 700, 9000])))
+    text = words(rng.randrange(1200, 1700)) + " " + run + " " + words(rng.randrange(1, 900))
+    pieces = splitting.split_text(text, enc)
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and max(p[2] for p in pieces) <= 2048
+    for (a, b, _, kind, _), (c, *_) in zip(pieces, pieces[1:]):
+        assert a < c <= b
+        assert kind > 0 or len(run) > 1000
+    assert pieces[0][3] > 0
+
+
+def test_long_runs_of_marks_stay_with_their_letter():
+    text = "a" * 300 + ("b" + "\u0301" * 500) * 12
+    for a, b, *_ in splitting.split_text(text, bpe.encoder(), 2048, 128)[1:]:
+        assert text[a] != "\u0301"
