@@ -76,11 +76,11 @@ class Layout:
         """Whether a cut there parts a visible character from its marks."""
         return bool(_JOINED.match(self.text, at)) or self.text[at - 1 : at] == "\u200d"
 
-    def snap(self, target: int, low: int, high: int) -> int:
-        """The strongest boundary in [low, high], of equal ones the nearest to target; target if there is none."""
+    def snap(self, target: int, low: int, high: int, least: int | None = None) -> int:
+        """The strongest boundary in [low, high], of equal ones the nearest to target; if there is none the place between characters at target or before it, down to least."""
         near = self.places[bisect.bisect_left(self.places, low) : bisect.bisect_right(self.places, high)]
         if not near:
-            return self.between_characters(min(max(target, low), high), low)
+            return self.between_characters(min(max(target, low), high), low if least is None else least)
         return min(near, key=lambda p: (-self.strength[p], abs(p - target), p))
 
     def last_resort(self, before: int, start: int, overlap: int, low: int, high: int) -> int | None:
@@ -108,7 +108,7 @@ class Layout:
                 high = max(low, self.char_at(target + slack))
                 last = self.last_resort(before, start, overlap, low, high)
                 if last is None:
-                    end = self.snap(max(low, min(self.char_at(target), high)), low, min(high, len(self.text) - 1))
+                    end = self.snap(max(low, min(self.char_at(target), high)), low, min(high, len(self.text) - 1), before + 1)
                 else:
                     # the rest is laid out anew from there
                     end = last
