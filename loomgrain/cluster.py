@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side made of a few scalars may be broadcast. At about 200 bytes a row this is 4 MB.
 BROADCAST_ROWS = 20_000
+#: Bytes of texts up to which a side may be broadcast.
+BROADCAST_BYTES = 8_000_000
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
@@ -24,7 +28,9 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomgrain-"))
+        own = tempfile.mkdtemp(prefix="loomgrain-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
@@ -35,9 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint where its counted rows stay within limit, else unchanged (a shuffle join)."""
-    return F.broadcast(df) if rows <= limit else df
+def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS, size: int = 0) -> DataFrame:
+    """df with a broadcast hint where its counted rows stay within limit, else unchanged (a shuffle join).
+
+    size: the bytes of its texts, where it has any; no more than BROADCAST_BYTES are broadcast.
+    """
+    return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def khop(edges: DataFrame, seeds: DataFrame, hops: int, relations: Sequence[str]
     A relation filter holds for the last edge only, and a node may come out at several numbers of hops,
     also the seeds again over a cycle. Seeds that aren't nodes reach nothing.
     """
-    edges = edges.select("source", "target", "relation")
+    edges = cut(edges.select("source", "target", "relation").distinct())
     frontier, out = seeds.select("node").distinct(), None
     for k in range(1, hops + 1):
         level = cut(_step(frontier, edges).distinct())
@@ -39,7 +39,7 @@ def khop(edges: DataFrame, seeds: DataFrame, hops: int, relations: Sequence[str]
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node and least depth (seeds at 0) of all that is reached; cycles end since known nodes aren't visited again."""
-    edges = edges.select("source", "target", F.lit("").alias("relation")).distinct()
+    edges = cut(edges.select("source", "target", F.lit("").alias("relation")).distinct())
     frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     known, depth = frontier, 0
     while max_depth is None or depth < max_depth:
@@ -62,7 +62,7 @@ def reach_counts(edges: DataFrame, entries: DataFrame, max_depth: int = 20) -> D
 
     All entries are followed at once, keyed by entry and node.
     """
-    edges = edges.select("source", "target", F.lit("").alias("relation")).distinct()
+    edges = cut(edges.select("source", "target", F.lit("").alias("relation")).distinct())
     frontier = cut(entries.select(F.col("node").alias("entry"), "node").distinct())
     known = frontier
     for _ in range(max_depth):
@@ -201,6 +201,7 @@ def call_chains(edges: DataFrame, entries: DataFrame, max_depth: int, skipped: C
     links = edges.select("source", "target").distinct()
     if skipped is not None:
         links = links.filter(~skipped)
+    links = cut(links)
     paths = cut(entries.select(F.array("node").alias("path"), F.col("node").alias("last")))
     out = None
     for depth in range(1, max_depth + 1):

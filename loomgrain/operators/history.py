@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgrain.cluster import broadcast_if
+from loomgrain.cluster import broadcast_if, cut
 from loomgrain.sources.roles import newest_first
 
 #: Default parameters of the public tool's behaviour.
@@ -57,7 +57,7 @@ def hotspots(frequency: DataFrame, complexity: DataFrame, decimals: int = 6) ->
     Both axes are divided by their global maxima, which are 1 at least, and multiplied. A file without
     symbols has complexity 0. The maxima are one row and are broadcast.
     """
-    joined = frequency.join(complexity, "file", "left").select("file", "frequency", F.coalesce("complexity", F.lit(0)).alias("complexity"))
+    joined = cut(frequency.join(complexity, "file", "left").select("file", "frequency", F.coalesce("complexity", F.lit(0)).alias("complexity")))
     top = joined.agg(F.greatest(F.max("frequency"), F.lit(1.0)).alias("max_f"), F.greatest(F.max("complexity"), F.lit(1)).alias("max_c"))
     f, c = F.col("frequency") / F.col("max_f"), F.col("complexity") / F.col("max_c")
     kind = F.when((f > 0.5) & (c > 0.5), "critical").when(f > 0.5, "volatile").when(c > 0.5, "complex").otherwise("calm")
@@ -81,12 +81,14 @@ def centrality_boost(scored: DataFrame, centrality: DataFrame) -> DataFrame:
 def eligible_files(change_log: DataFrame, recent: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     """commit_id, file, ord of the commits that count for coupling: no merges, 2 to max_files distinct files.
 
-    The ordinal runs over these commits only, which differs from decayed_frequency().
+    The ordinal runs over these commits only, which differs from decayed_frequency(). The files of the recent commits are
+    read from the change log once and cut off from their lineage.
     """
     files = change_log.select("commit_id", "file").filter("file is not null").join(recent.filter("not is_merge").select("commit_id", F.col("ord").alias("walk")), "commit_id").distinct()
+    files = cut(files)
     sizes = files.groupBy("commit_id", "walk").agg(F.count("*").alias("n")).filter(F.col("n").between(1, max_files))
     ranked = sizes.withColumn("ord", F.row_number().over(W.orderBy("walk")) - 1)
-    return files.join(F.broadcast(ranked.select("commit_id", "ord")), "commit_id").select("commit_id", "file", "ord")
+    return cut(files.join(ranked.select("commit_id", "ord"), "commit_id").select("commit_id", "file", "ord"))
 
 
 def revisions(files: DataFrame, half_life: float, min_revisions: int = MIN_REVISIONS) -> DataFrame:

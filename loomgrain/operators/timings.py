@@ -14,19 +14,28 @@ def nearest_rank(values: Column, percent: float) -> Column:
     return F.get(values, F.round(F.lit(percent / 100) * (F.size(values) - 1)).cast("int"))
 
 
-def percentile_ranks(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int]) -> DataFrame:
+def percentile_ranks(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int], width: int = 1024) -> DataFrame:
     """keys and p50, p95 ...: nearest-rank percentiles of each group.
 
-    Equal values of a group are counted before they are ranked, so what is ranked is a group's distinct
-    values; the ranks come from a running count and no list of a group's values is made.
+    Equal values of a group are counted before they are ranked, in two levels: over slices of the values, `width` wide,
+    and then only within the slices that hold a wanted rank. So a group of any size is spread over its
+    slices, and no list of a group's values is made.
     """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.floor(F.col(value) / width).alias("__slice"), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
     w = W.partitionBy(*keys)
-    ranked = counts.withColumn("__upto", F.sum("__n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(w))
+    slices = counts.groupBy(*keys, "__slice").agg(F.sum("__n").alias("__in"))
+    slices = slices.withColumn("__before", F.sum("__in").over(w.orderBy("__slice").rowsBetween(W.unboundedPreceding, 0)) - F.col("__in")).withColumn("__all", F.sum("__in").over(w))
     at = lambda p: F.round(F.lit(p / 100) * (F.col("__all") - 1)).cast("bigint")
-    picked = [F.min(F.when(F.col("__upto") > at(p), F.col(value))).alias(f"p{p}") for p in percents]
-    return ranked.groupBy(*keys).agg(*picked)
+    wanted = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), at(p).alias("rank")) for p in percents)))
+    held = slices.select(*keys, "__slice", "__before", "__in", wanted.alias("x")).filter((F.col("x.rank") >= F.col("__before")) & (F.col("x.rank") < F.col("__before") + F.col("__in")))
+    held = held.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__slice").alias("__s"), F.col("x.p").alias("__p"), (F.col("x.rank") - F.col("__before")).alias("__rank"))
+    same = F.col("__slice") == F.col("__s")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    inside = counts.join(held, same).withColumn("__upto", F.sum("__n").over(W.partitionBy(*keys, "__p", "__slice").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)))
+    picked = [F.min(F.when((F.col("__p") == p) & (F.col("__upto") > F.col("__rank")), F.col("__v"))).alias(f"p{p}") for p in percents]
+    return inside.groupBy(*keys).agg(*picked)
 
 
 def select_timings(timings: DataFrame, inner: bool | None = None, command: str | None = None, since=None, limit: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,21 +12,10 @@ from pyspark.sql import functions as F
 
 from loomgrain.functions.vectors import cosine, literal
 
-#: Queries that are sent to all tasks at once; at 1,000 dimensions these are 16 MB.
+#: Queries that are sent to all tasks at once; at 1,000 dimensions these are 32 MB. More are dealt out in blocks of about so many.
 BLOCK = 4096
-
-
-def _blocks(queries: DataFrame, id_column: str, vector: str) -> Iterator[tuple[list[int], np.ndarray]]:
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    for row in queries.select(F.col(id_column).alias("i"), F.col(vector).alias("v")).filter("i is not null and v is not null").toLocalIterator():
-        ids.append(row.i)
-        rows.append(row.v)
-        if len(ids) == BLOCK:
-            yield ids, rows
-            ids, rows = [], []
-    if ids:
-        yield ids, rows
+#: Rows of the base that one task compares with a block of queries where both are dealt out.
+STRIPE = 16_384
 
 
 def _unit(rows: list, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -42,22 +31,41 @@ def _unit(rows: list, width: int | None = None) -> tuple[np.ndarray, np.ndarray]
 
 
 def _over_blocks(base: DataFrame, queries: DataFrame, id_column: str, vector: str, work, schema: str) -> DataFrame:
-    """The union over query blocks of work(ids, unit queries, base ids, unit base) → columns, for each batch of base."""
-    rows = base.select(F.col(id_column).cast("bigint").alias("i"), F.col(vector).alias("v")).filter("i is not null and v is not null")
-    context, out = base.sparkSession.sparkContext, None
-    for ids, vectors in _blocks(queries, id_column, vector):
-        units, usable = _unit(vectors)
-        shared = context.broadcast((np.array(ids, np.int64)[usable], units[usable]))
-
-        def run(batches, shared=shared):
+    """The results of work(ids, unit queries, base ids, unit base) → columns, for all queries against all rows of base.
+
+    Up to BLOCK queries, which are counted, are broadcast and base isn't moved. More are dealt out: each block
+    of queries meets each stripe of base in a task of its own, so neither side goes through the driver, and the work of a
+    task is bounded.
+    """
+    plain = lambda df: df.select(F.col(id_column).cast("bigint").alias("i"), F.col(vector).alias("v")).filter("i is not null and v is not null")
+    rows, wanted = plain(base), plain(queries)
+    n, width = wanted.agg(F.count("*"), F.max(F.size("v"))).first()
+    if n <= BLOCK:
+        held = wanted.collect()
+        units, usable = _unit([r.v for r in held], width or 0)
+        shared = base.sparkSession.sparkContext.broadcast((np.array([r.i for r in held], np.int64)[usable], units[usable]))
+
+        def run(batches):
             who, unit = shared.value
             for batch in batches:
                 base_unit, fine = _unit(batch.column(1).to_pylist(), unit.shape[1])
                 yield work(who, unit, batch.column(0).to_numpy()[fine], base_unit[fine])
 
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else base.sparkSession.createDataFrame([], schema)
+        return rows.mapInArrow(run, schema)
+    blocks, stripes = -(-n // BLOCK), max(1, -(-rows.count() // STRIPE))
+    part = lambda of: F.pmod(F.xxhash64("i"), F.lit(of)).cast("int")
+    all_of = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    dealt = wanted.select(F.lit(True).alias("q"), "i", "v", part(blocks).alias("block"), all_of(stripes).alias("stripe"))
+    dealt = dealt.unionByName(rows.select(F.lit(False).alias("q"), "i", "v", all_of(blocks).alias("block"), part(stripes).alias("stripe")))
+
+    def meet(table: pa.Table) -> pa.Table:
+        units, fine = _unit(table.column("v").to_pylist(), width)
+        of_query = table.column("q").to_numpy()
+        ids = table.column("i").to_numpy()
+        a, b = of_query & fine, ~of_query & fine
+        return pa.Table.from_batches([work(ids[a], units[a], ids[b], units[b])])
+
+    return dealt.groupBy("block", "stripe").applyInArrow(meet, schema)
 
 
 def nearest(base: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", least: float | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from loomgrain.sources.tables import table
 
 
 def _frequency(s, d):
-    return h.decayed_frequency(roles.change_log(s, d), roles.commits(s, d))
+    return h.decayed_frequency(roles.commit_files(s, d), roles.commits(s, d))
 
 
 def _hot(s, d):
@@ -19,7 +19,7 @@ def _hot(s, d):
 
 
 def _files(s, d):
-    return h.eligible_files(roles.change_log(s, d), h.recent_commits(roles.commits(s, d), 1000))
+    return h.eligible_files(roles.commit_files(s, d), h.recent_commits(roles.commits(s, d), 1000))
 
 
 def _coupling(s, d, threshold=0.2):

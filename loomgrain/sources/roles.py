@@ -32,6 +32,11 @@ def change_log(spark: SparkSession, where: str) -> DataFrame:
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("ts"), F.col("l_suppkey").alias("file"), (F.col("o_orderpriority") == "1-URGENT").alias("is_merge"))
 
 
+def commit_files(spark: SparkSession, where: str) -> DataFrame:
+    """commit_id, file: the change log without what commits() knows, for operators that join the commits they need."""
+    return table(spark, where, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_suppkey").alias("file"))
+
+
 def commits(spark: SparkSession, where: str) -> DataFrame:
     """commit_id, ts, is_merge, author: a row for each commit, those without files included."""
     return table(spark, where, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("ts"), (F.col("o_orderpriority") == "1-URGENT").alias("is_merge"), F.col("o_custkey").alias("author"))

@@ -113,3 +113,18 @@ def test_small_scalars(spark):
 def test_names_are_unique_and_callable():
     queries = registry.queries()
     assert len(queries) > 150 and all(callable(q) for q in queries.values())
+
+
+def test_dealt_vector_blocks_equal_broadcast_ones(spark, monkeypatch):
+    import random
+
+    from loomgrain.operators import vectors
+
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(90)] + [(90, None), (91, [0.0, 0.0, 0.0]), (92, [1.0]), (93, [1.0, 2.0, 3.0]), (94, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    calls = lambda: (sorted(map(tuple, vectors.link_counts(df, 0.9).collect())), sorted(map(tuple, vectors.nearest(df, df, 3).collect())))
+    near = calls()
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    monkeypatch.setattr(vectors, "STRIPE", 32)
+    assert near == calls() and dict(near[0])[93] >= 1
