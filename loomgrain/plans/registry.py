@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name → callable) and ORACLES (name → SQL).
-MODULES: tuple[str, ...] = ("problems", "history", "timings", "graph", "search", "ledger", "streams", "facts")
+MODULES: tuple[str, ...] = ("problems", "history", "timings", "graph", "search", "ledger", "streams", "facts", "graph_load")
 
 
 def _gather(attribute: str) -> dict:
