@@ -12,14 +12,21 @@ from pyspark.sql import types as T
 
 #: Control characters except tab, line feed and carriage return.
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]"
-#: Secrets by name: pattern; the first that fits counts.
+# Secrets by name and pattern, in the order in which they are tried; the token families' own public formats.
 SECRETS: dict[str, str] = {
+    "aws_access_key": r"AKIA[0-9A-Z]{16}",
+    "github_ghp": r"ghp_[A-Za-z0-9_]{36,}",
+    "github_gho": r"gho_[A-Za-z0-9_]{36,}",
+    "github_ghu": r"ghu_[A-Za-z0-9_]{36,}",
+    "github_ghs": r"ghs_[A-Za-z0-9_]{36,}",
+    "google_api_key": r"AIza[0-9A-Za-z_-]{30,}",
+    "sk_key": r"sk-[A-Za-z0-9]{20,}T3BlbkFJ",
+    "sk_proj_key": r"sk-proj-[A-Za-z0-9]{48,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "access_key": r"\b[A-Z0-9]{20}\b",
-    "bearer": r"(?i)bearer [A-Za-z0-9._~+/-]{16,}",
-    "assignment": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? ?[:=] ?[\"']?[^\s\"']{4,}",
-    "hex_digest": r"\b[0-9a-f]{32,}\b",
+    "assignment": r"(?:secret|password|token|api_key|apikey|access_key)\s*[:=]\s*[\"']?[A-Za-z0-9+/=_-]{20,}[\"']?",
 }
+#: A token of at least so many characters and so many bits a byte is taken for a secret.
+LONG_TOKEN, SECRET_BITS = 20, 4.5
 
 
 def strip_controls(c: Column) -> Column:
@@ -93,6 +100,11 @@ def truncate_bytes(c: Column, most: int) -> Column:
     return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.substring(raw, F.lit(1), end), "UTF-8"))
 
 
+def sanitise(c: Column, most: int) -> Column:
+    """The text without its secrets, cut to at most `most` bytes: redacted first, so that no cut leaves a part of a secret."""
+    return truncate_bytes(redact(c), most)
+
+
 def entropy(c: Column) -> Column:
     """Shannon entropy in bits over the characters of an ASCII text; 0 for an empty one."""
     n = F.length(c)

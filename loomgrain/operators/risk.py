@@ -88,10 +88,11 @@ def log_anomalies(lines: DataFrame, doc: str, at: str, line: str, pattern: str,
     return groups.withColumn("severity", F.when(F.col("n") > 10, "critical").when(F.col("n") > 3, "warning").otherwise("normal"))
 
 
-def module_groups(files: DataFrame, path: str, most: int = 1000) -> DataFrame:
-    """folder, files, first and last path by name: what a folder holds, without a list of unbounded length."""
-    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
-    return files.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.min(path).alias("first"), F.max(path).alias("last"))
+def module_groups(files: DataFrame, path: str) -> DataFrame:
+    """folder, file, files: a row for each distinct path with its folder and how many rows the folder has; no list of unbounded length is made."""
+    placed = files.select(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder"), F.col(path).alias("file")).filter("file is not null")
+    sizes = placed.groupBy("folder").agg(F.count("*").alias("files"))
+    return placed.distinct().join(sizes, "folder")
 
 
 def config_diff(declared: DataFrame, referenced: DataFrame, name: str) -> DataFrame:

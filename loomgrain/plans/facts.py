@@ -27,9 +27,10 @@ def _path():
 
 
 def latest_packets(s, d):
-    """The newest readable snapshot of each branch."""
-    rows = table(s, d, "snapshots").filter("branch_name is not null")
-    return rows.groupBy("branch_name").agg(F.max_by("id", F.struct("timestamp_utc", "id")).alias("id"), F.max("timestamp_utc").alias("at"))
+    """The newest snapshot of each branch whose packet is complete JSON, with the packet's digest."""
+    rows = table(s, d, "snapshots").filter("branch_name is not null").filter(F.try_parse_json("packet_json").isNotNull())
+    newest = F.max(F.struct(F.col("timestamp_utc").alias("at"), "id", F.md5("packet_json").alias("packet")))
+    return rows.groupBy("branch_name").agg(newest.alias("x")).select("branch_name", "x.id", "x.at", "x.packet")
 
 
 def packet_languages(s, d):
@@ -95,7 +96,7 @@ ORACLES = {
     "policy_modes": "select id, case when starts_with(file_path, 'src/ledger/') then 'strict' when ends_with(file_path, '.sql') then 'review' when starts_with(file_path, 'docs/') then 'advise' else 'free' end as mode from project_files",
     "json_field": "select event_id from events where (props->>'$.k')::int in (1, 2, 3)",
     "log_tails": "select doc_id, i as line_no from (select doc_id, len(string_split(text, chr(10))) n from documents where source = 'ci_log' and text is not null), unnest(generate_series(greatest(1, n - 4), n)) u(i)",
-    "latest_packets": "select branch_name, arg_max(id, (timestamp_utc, id)) as id, max(timestamp_utc) as at from snapshots where branch_name is not null group by 1",
+    "latest_packets": "select branch_name, arg_max(id, (timestamp_utc, id)) as id, max(timestamp_utc) as at, md5(arg_max(packet_json, (timestamp_utc, id))) as packet from snapshots where branch_name is not null and json_valid(packet_json) group by 1",
     "named_calls": with_sql("calls symbols", "select source, coalesce(name, 'unresolved:' || target) as callee, name is not null as resolved from calls left join (select * from symbols where kind <> 'SMALL') on symbol_id = target"),
     "callers_of": with_sql("calls symbols", "select symbol_id, name from symbols where symbol_id in (select source from calls where target in (select symbol_id from symbols where name = 'red widget'))"),
     "callees_of": with_sql("calls symbols", "select symbol_id, name from symbols where symbol_id in (select target from calls where source in (select symbol_id from symbols where name = 'red widget'))"),

@@ -162,7 +162,7 @@ g as (select lower(trim(tx_id)) as k, max(({_CLOCK % 1}::bigint, {_CLOCK % 2}::i
     "dead_code": "with c as (select p_partkey as symbol_id, round(greatest((p_size % 2 + p_size / 50 + p_size % 3 % 2) / 3 - case when p_size > 40 then 0.2 else 0 end - case when p_type = 'PROMO' then 0.5 else 0 end, 0), 6) as confidence from part) select * from c where confidence >= 0.75",
     "log_anomalies": "with l as (select doc_id, i as line_no, l[i] as line, array_to_string(l[greatest(i - 2, 1):least(i + 2, len(l))], chr(10)) as around from (select doc_id, string_split(text, chr(10)) l from documents where text is not null and source = 'ci_log'), unnest(generate_series(1, len(l))) u(i)) select substring(line, 1, 80) as label, count(*) as n, case when count(*) > 10 then 'critical' when count(*) > 3 then 'warning' else 'normal' end as severity, md5(arg_min(around, (doc_id, line_no))) as excerpt from l where regexp_matches(line, '(?i)error|failed|panic') group by 1",
     "job_elevation": "select job_name, case when bool_or(duration_ms > 10000000) then 'HIGH' when count(*) filter (duration_ms > 1000000 and duration_ms <= 10000000) > 3 then 'ELEVATED' else 'NORMAL' end as state from ci_outcome_history where duration_ms is not null group by 1",
-    "module_groups": "select regexp_extract(file_path, '^(.*)/[^/]*$', 1) as folder, count(*) as files, min(file_path) as first, max(file_path) as last from project_files group by 1",
+    "module_groups": "with p as (select regexp_extract(file_path, '^(.*)/[^/]*$', 1) as folder, file_path as file from project_files where file_path is not null), n as (select folder, count(*) as files from p group by 1) select distinct folder, file, files from p join n using (folder)",
     "module_dependencies": "with f as (select id, regexp_extract(file_path, '^(.*)/[^/]*$', 1) as folder from project_files) select a.folder as source, count(distinct b.folder) as targets from test_mapping join f a on a.id = test_file_id join f b on b.id = tested_file_id where a.folder <> b.folder group by 1",
     "service_diff": "with a as (select distinct service_name as name from project_files where service_name is not null), b as (select distinct regexp_extract(job_name, '^[a-z]+-([a-z]+)', 1) || '-svc' as name from ci_outcome_history where job_name is not null) select coalesce(a.name, b.name) as name, case when a.name is null then 'undeclared' when b.name is null then 'unused' else 'used' end as state from a full join (select * from b where name <> '-svc') b on a.name = b.name",
     "unknown_ci_files": "select ci_file_id, count(*) as n from ci_outcome_history c where not exists (select 1 from project_files f where f.id = c.ci_file_id) group by 1",

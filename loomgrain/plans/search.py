@@ -44,11 +44,16 @@ def redacted(s, d):
     return _docs(s, d).filter("text is not null").select("doc_id", t.secret_kind(c).alias("kind"), F.md5(t.redact(c)).alias("redacted"))
 
 
+def sanitised(s, d):
+    """Texts without secrets, cut to 400 bytes."""
+    return _docs(s, d).filter("text is not null").select("doc_id", F.md5(t.sanitise(F.col("text"), 400)).alias("sanitised"))
+
+
 def entropies(s, d):
     """Long tokens of high entropy in any text."""
     tokens = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/=_-]{20,}"), F.lit(0)))
     rows = _docs(s, d).filter("text is not null").select("doc_id", F.explode(tokens).alias("token"))
-    return rows.withColumn("bits", F.round(t.entropy(F.col("token")), 6)).filter("bits >= 4.0")
+    return rows.withColumn("bits", F.round(t.entropy(F.col("token")), 6)).filter(F.col("bits") >= t.SECRET_BITS)
 
 
 def jaccard_heading(s, d):
@@ -99,6 +104,7 @@ QUERIES = {
     "ledger_phrase_search": lambda s, d: x.phrase_search(table(s, d, "ledger_entries").select("id", "summary").distinct(), "id", "summary", ["alert", "rule"]),
     "merged_search": merged_search,
     "redacted": redacted,
+    "sanitised": sanitised,
     "high_entropy": entropies,
     "jaccard_heading": jaccard_heading,
     "distinct_results": distinct_results,
@@ -148,7 +154,7 @@ ORACLES = {
     "ledger_phrase_search": f"with w as (select id, ' ' || array_to_string({_WORDS.format(c='summary')}, '  ') || ' ' as s from (select distinct id, summary from ledger_entries) where summary is not null), q as (select id, ((length(s) - length(replace(s, ' alert  rule ', ''))) / length(' alert  rule '))::int as times from w) select * from q where times > 0",
     "merged_search": f"with {_RANKED.replace("@N", "100")}, {_LINES}, h as (select doc_id, max(case when source = 'code' then 15.0 else 5.0 end) extra from ln join documents using (doc_id) where strlen(line) <= 1000 and regexp_matches(line, '{PATTERN}') group by 1) select doc_id, round(coalesce(score, 0) + coalesce(extra, 0), 6) as score from ranked full join h using (doc_id) order by 2 desc, 1 limit 50",
     "redacted": f"select doc_id, {_SECRET} as kind, md5({_REDACT}) as redacted from documents where text is not null",
-    "high_entropy": "with k as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{20,}'))) as token from documents where text is not null), e as (select doc_id, token, unnest(string_split(token, '')) as ch from k) select doc_id, token, round(entropy(ch), 6) as bits from e group by 1, 2 having round(entropy(ch), 6) >= 4.0",
+    "high_entropy": "with k as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{20,}'))) as token from documents where text is not null), e as (select doc_id, token, unnest(string_split(token, '')) as ch from k) select doc_id, token, round(entropy(ch), 6) as bits from e group by 1, 2 having round(entropy(ch), 6) >= 4.5",
     "jaccard_heading": r"with w as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(heading), '[ \t\n\r]+'), lambda x: x <> '')) a, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '')) b from documents where heading is not null and text is not null) select doc_id, round(case when len(a) + len(b) = 0 then 1.0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) end, 6) as jaccard from w",
     "nfc_texts": "select doc_id, md5(nfc_normalize(text)) as nfc from documents where text is not null",
     "text_measures": "select doc_id, ceil(strlen(text) / 4)::bigint as tokens_up, (strlen(text) // 4)::bigint as tokens_down, md5(case when strlen(text) <= 1000 then text else substring(text, 1, len(list_filter(list_transform(generate_series(1, least(length(text), 1000)), lambda i: strlen(substring(text, 1, i))), lambda n: n <= 1000))) end) as head, "
