@@ -86,7 +86,31 @@ numbered as (select *, sum(case when before is null or s > before then 1 else 0
 periods as (select entity, k, min(s) period_start_us, max(e) period_end_us from numbered group by entity, k),
 gaps as (select entity, period_end_us gap_start_us, lead(period_start_us) over (partition by entity order by k) gap_end_us from periods)
 """
+# Packets out of their wrappers: JSON text in strings, then the first object of a list, then an object under packet or payload,
+# four times over, which is deeper than any wrapper at hand; every step leaves a packet as it is.
+_ROOT_STEPS = 4
+_P5 = r"""
+j0 as (select distinct id, trim(packet_json, chr(65279) || chr(32) || chr(10) || chr(13) || chr(9)) as t from snapshots where id is not null and packet_json is not null),
+r0 as (select id, t::json as j from j0 where json_valid(t)),
+""" + "".join(f"""
+s{k} as (select id, case when json_type(j) = 'VARCHAR' then case when json_valid(trim(j->>'$', chr(65279) || ' ')) then trim(j->>'$', chr(65279) || ' ')::json end
+                 when json_type(j) = 'ARRAY' then list_filter(from_json(j, '["json"]'), lambda x: json_type(x) in ('OBJECT', 'VARCHAR'))[1] else j end as j from r{k - 1}),
+r{k} as (select id, case when json_type(j) = 'OBJECT' and coalesce(json_type(j->'changes'), 'NULL') = 'NULL' and coalesce(json_type(coalesce(j->'relevantDecisions', j->'relevant_decisions')), 'NULL') = 'NULL' and coalesce(j->'packet', j->'payload') is not null
+                 then coalesce(j->'packet', j->'payload') else j end as j from s{k} where j is not null),""" for k in range(1, _ROOT_STEPS + 1)) + f"""
+root as (select distinct id, j::varchar as t from r{_ROOT_STEPS} where json_type(j) = 'OBJECT'),
+lists as (select id, t::json->'changes' as c, coalesce(t::json->'relevantDecisions', t::json->'relevant_decisions') as d from root),
+as_list as (select id, case json_type(c) when 'ARRAY' then from_json(c, '["json"]') when 'OBJECT' then [c] end as c, case json_type(d) when 'ARRAY' then from_json(d, '["json"]') when 'OBJECT' then [d] end as d from lists),
+changes as (select id, unnest(range(len(c))) as pos, unnest(c) as x from as_list),
+symbols as (select id, pos as parent_pos, case json_type(x->'symbols') when 'ARRAY' then from_json(x->'symbols', '["json"]') when 'OBJECT' then [x->'symbols'] end as l from changes where json_type(x) = 'OBJECT'),
+symbol as (select id, parent_pos, unnest(range(len(l))) as pos, unnest(l) as x from symbols),
+decision as (select id, unnest(range(len(d))) as pos, unnest(d) as x from as_list),
+tiers as (select id, pos, coalesce(nullif(x->>'stalenessTier', 'null'), x->>'staleness_tier') as tier from decision where json_type(x) = 'OBJECT')
+"""
 ORACLES = {
+    "p5_found": f"""with {_P5}
+select id as snapshot_id, 'change' as record_kind, -1::bigint as parent_pos, pos, x->>'path' as item_key from changes where json_type(x) <> 'NULL'
+union select id, 'symbol', parent_pos, pos, x->>'name' from symbol where json_type(x) <> 'NULL'
+union select id, 'decision', -1, pos, lower(tier) from tiers where tier is not null""",
     "p2_found": f"with {_P2} select distinct * from found",
     "p2_report": f"with {_P2} select child_table, period, count(*) as n_orphans from found group by all",
     "p4_found": f"with {_P4} select * from gaps where gap_end_us - gap_start_us between 1 and {MAX_GAP_US}",
