@@ -62,6 +62,14 @@ def p3_percentiles(spark: SparkSession, where: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_normalized, p3_percentiles, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_pieces)}
 ORACLES: dict[str, str] = {
+    "p7_found": r"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') as words from documents where text is not null),
+t as (select item_id, regexp_extract_all(lower(text), '[\pL\pN]+') as words from eval_items where text is not null),
+grams as (select item_id, least(12, len(words)) as n, array_to_string(words[i:i + least(12, len(words)) - 1], ' ') as gram from (select *, unnest(range(1, len(words) - least(12, len(words)) + 2)) as i from t where len(words) > 0)),
+sizes as (select distinct n from grams),
+places as (select doc_id, n, array_to_string(words[i:i + n - 1], ' ') as gram from (select doc_id, words, n, unnest(range(1, len(words) - n + 2)) as i from w, sizes where len(words) >= n))
+select distinct doc_id, item_id from places join grams using (n, gram)
+""",
     "p3_percentiles": """
 with once as (select id, arg_min(struct_pack(j := job_name, f := platform, d := strftime(recorded_at, '%Y-%m-%d'), v := duration_ms), loaded_at) r from ci_outcome_history group by id),
 r as (select r.j as job_name, r.f as platform, r.d as day, r.v as v from once where r.v is not null),
