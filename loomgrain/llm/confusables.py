@@ -234,10 +234,10 @@ def same_look(values: DataFrame, value: str, names: DataFrame, name_id: str, nam
     frequent value is no hot key; else both joins shuffle and adaptive execution splits hot keys.
     """
     known = names.select(F.col(name_id).alias("__name_id"), F.col(name).cast("string").alias("__name")).filter("__name is not null").distinct()
-    n = known.count()
-    texts = broadcast_if(known.select(F.col("__name").alias("__exact")).distinct(), n)
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__name")), F.lit(0))).first()
+    texts = broadcast_if(known.select(F.col("__name").alias("__exact")).distinct(), n, size=size)
     odd = values.filter(F.col(value).isNotNull()).join(texts, F.col(value) == F.col("__exact"), "left_anti")
-    forms = broadcast_if(normalize_text(known, "__name", "__form").select("__name_id", "__form"), n)
+    forms = broadcast_if(normalize_text(known, "__name", "__form").select("__name_id", "__form"), n, size=size)
     return normalize_text(odd, value, "__look").join(forms, F.col("__look") == F.col("__form")).drop("__look", "__form")
 
 
