@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from loomgrain.functions import text as t
 from loomgrain.operators import search as x
+from loomgrain.operators import search_index as index
 from loomgrain.operators import vectors as v
 from loomgrain.sources.tables import table
+from loomgrain.streaming.streams import shared_folder
 
 TERMS = ("cache", "ledger", "rollback")
 PATTERN = r"order of rows? is (not|never) [a-z]+"
@@ -44,6 +46,12 @@ def redacted(s, d):
     return _docs(s, d).filter("text is not null").select("doc_id", t.secret_kind(c).alias("kind"), F.md5(t.redact(c)).alias("redacted"))
 
 
+def indexed_search(s, d):
+    """bm25_search over an inverted index that is written to the shared folder first."""
+    folder = index.build_index(_docs(s, d), {"text": F.col("text"), "path": F.col("file_path")}, shared_folder(s, "search-index"))
+    return index.search_index(s, folder, TERMS, 50)
+
+
 def sanitised(s, d):
     """Texts without secrets, cut to 400 bytes."""
     return _docs(s, d).filter("text is not null").select("doc_id", F.md5(t.sanitise(F.col("text"), 400)).alias("sanitised"))
@@ -104,6 +112,7 @@ QUERIES = {
     "ledger_phrase_search": lambda s, d: x.phrase_search(table(s, d, "ledger_entries").select("id", "summary").distinct(), "id", "summary", ["alert", "rule"]),
     "merged_search": merged_search,
     "redacted": redacted,
+    "indexed_search": indexed_search,
     "sanitised": sanitised,
     "high_entropy": entropies,
     "jaccard_heading": jaccard_heading,
@@ -148,6 +157,7 @@ ORACLES = {
     "literal_lines": f"with {_LINES} select doc_id, line_no, trim(line, ' ') as line from ln where strlen(line) <= 1000 and contains(line, '{LITERAL}')",
     "code_words": f"select distinct id, array_to_string({_WORDS.format(c='entity')}, ' ') as words from ledger_entries where entity is not null",
     "vocabulary": f"select word, count(*) as documents from (select unnest(list_distinct({_WORDS.format(c='heading')})) as word from documents where heading is not null) group by 1",
+    "indexed_search": f"with {_RANKED.replace("@N", "50")} select * from ranked",
     "bm25_search": f"with {_RANKED.replace("@N", "50")} select * from ranked",
     "fuzzy_words": f"with v as (select word, count(*) as documents from (select unnest(list_distinct({_WORDS.format(c='text')})) as word from documents where text is not null) group by 1) select word, documents, damerau_levenshtein(word, 'scheduler')::int as distance from v where length(word) between 7 and 11 and damerau_levenshtein(word, 'scheduler') <= 2",
     "phrase_search": f"with w as (select doc_id, ' ' || array_to_string({_WORDS.format(c='text')}, '  ') || ' ' as s from documents where text is not null), q as (select doc_id, ((length(s) - length(replace(s, ' at  the  end  of  the  sprint ', ''))) / length(' at  the  end  of  the  sprint '))::int as times from w) select * from q where times > 0",
