@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 
@@ -41,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Have Spark remove shuffle files, and checkpoints where it is set to, that nothing refers to any more.
+
+    It does so only when the driver's JVM happens to collect its garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS, size: int = 0) -> DataFrame:
     """df with a broadcast hint where its counted rows stay within limit, else unchanged (a shuffle join).
 

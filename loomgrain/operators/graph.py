@@ -6,13 +6,20 @@ cut off from its lineage by a checkpoint. What a level adds is found by an anti-
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgrain.cluster import cut
+from loomgrain.cluster import cut, free
+
+#: Links that one task follows in memory, about 300 bytes each, and links among which one joins neighbours.
+WALK_ROWS = 1_000_000
+RUN_ROWS = 200_000
+#: Bytes of a key: two of 10^10 hashes have the same one with a probability below 10^-9, which is an error then.
+KEY = 12
 
 
 def _step(frontier: DataFrame, edges: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -273,27 +280,134 @@ def build_graph(*parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFra
     return nodes.groupBy("node").agg(F.min("category").alias("category"), F.min_by("label", "category").alias("label")), edges.select("source", "target", "relation").distinct()
 
 
-def walk_chain(entries: DataFrame, order: str) -> DataFrame:
+def _key(text: Column) -> Column:
+    """KEY bytes that stand for a hash of any form: the first of its SHA-256."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 2 * KEY))
+
+
+def _coded(rows: pa.Table) -> tuple[pa.Array, list[int]]:
+    """All keys of the rows, first `id` in the order of rows, and the place of each row's `next` among them."""
+    keys = pa.concat_arrays([*rows["id"].chunks, *rows["next"].chunks]).dictionary_encode()
+    return keys.dictionary, keys.indices.to_numpy()[rows.num_rows :].tolist()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links id → next joined where both lie among the same RUN_ROWS rows: id, next, steps, and the keys `inside` in a row."""
+
+    def joined(rows: pa.Table) -> pa.RecordBatch:
+        keys, follow = _coded(rows)
+        keys, n = keys.to_pylist(), rows.num_rows
+        led = bytearray(len(keys))
+        for x in follow:
+            led[x] = 1
+        done, out = bytearray(n), ([], [], [], [])
+        for at in [*(i for i in range(n) if not led[i]), *range(n)]:  # a ring has no first link: it begins anywhere
+            if done[at]:
+                continue
+            done[at], inside, x = 1, [], follow[at]
+            while x < n and not done[x]:
+                done[x] = 1
+                inside.append(keys[x])
+                x = follow[x]
+            for column, value in zip(out, (keys[at], keys[x], len(inside) + 1, b"".join(inside)), strict=True):
+                column.append(value)
+        return pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["id", "next", "steps", "inside"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= RUN_ROWS:
+            yield joined(pa.Table.from_batches(held))
+            held = []
+    if any(x.num_rows for x in held):
+        yield joined(pa.Table.from_batches(held))
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, place of what is met from the empty key on, up to an end or to what was met before."""
+    held = [x for x in batches if x.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    keys, follow = _coded(rows)
+    steps, place, far = rows["steps"].to_pylist(), [-1] * len(keys), 0
+    at, met = keys.index(pa.scalar(b"", keys.type)).as_py(), []
+    while at >= 0 and place[at] < 0:
+        place[at] = far
+        met.append(at)
+        if at >= rows.num_rows:
+            break
+        far, at = far + steps[at], follow[at]
+    yield from pa.table({"id": keys.take(pa.array(met, pa.int64())).cast(pa.binary()), "place": pa.array([place[x] for x in met], pa.int64())}).to_batches(100_000)
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, place of the keys inside runs whose first key has a place."""
+    for batch in batches:
+        for place, inside in zip(batch["place"].to_pylist(), batch["inside"].to_pylist(), strict=True):
+            for i in range(0, len(inside), KEY * 100_000):
+                part = inside[i : i + KEY * 100_000]
+                n, first = len(part) // KEY, place + 1 + i // KEY
+                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY), n, [None, pa.py_buffer(part)]).cast(pa.binary())
+                yield pa.record_batch([ids, pa.array(range(first, first + n), pa.int64())], ["id", "place"])
+
+
+def _places(links: DataFrame, at_once: int) -> DataFrame:
+    """id, place: the steps from the empty key to each key of the links id → next (steps) that is met on the way.
+
+    While there are more than at_once links, keys of which no two follow each other are taken out, about a
+    quarter in a round, and what led to them leads on; the rest is walked by one task, and what was taken out
+    is put back behind the key that led to it.
+    """
+    out = []
+    while links.count() > at_once:
+        heads = [F.xxhash64(F.lit(len(out)), F.col(c)).bitwiseAND(1) == 1 for c in ("id", "next")]
+        goes = heads[0] & ~heads[1] & (F.length("id") > 0)
+        gone = links.filter(goes).select(F.col("id").alias("next"), F.col("next").alias("__next"), F.col("steps").alias("__steps"))
+        round_ = cut(
+            links.filter(~goes).join(gone, "next", "left").select("id", F.coalesce("__next", "next").alias("next"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), F.when(F.col("__next").isNotNull(), F.col("next")).alias("gone"), F.when(F.col("__next").isNotNull(), F.col("steps")).alias("after"))
+        )
+        out.append(round_.filter("gone is not null").select("id", "gone", "after"))
+        links = round_.filter("id <> next").select("id", "next", "steps")
+    known = links.repartition(1).mapInArrow(_walk, "id binary, place bigint")
+    for gone in reversed(out):
+        both = F.explode(F.array(F.struct("id", "place"), F.struct(F.col("gone").alias("id"), (F.col("place") + F.col("after")).alias("place"))))
+        known = known.join(gone, "id", "left").select(both.alias("x")).select("x.*").filter("id is not null").groupBy("id").agg(F.min("place").alias("place"))
+    return known
+
+
+def walk_chain(entries: DataFrame, order: str, at_once: int = WALK_ROWS) -> DataFrame:
     """hash, place of the entries that hang together from the genesis on; other entries have a null place.
 
     The genesis is the entry without predecessor of the least `order`; at a fork the child of the least hash
-    goes on. Instead of one step for each link, pointers are doubled: after k rounds an entry knows its
-    predecessor 2^k links back, so a chain of n links takes log2(n) rounds.
+    goes on. Each entry's links are moved once to find the heirs, once to lie by `order`, where neighbours of the
+    chain mostly meet and are joined to runs, and runs alone are followed (_places). Hashes are carried as short
+    keys, or as their bytes where they are hex digits, the key last, where its padding compresses away. In whatever
+    order the links lie, the result is the same.
     """
     own = entries.select("hash", "prev", F.col(order).alias("__o"))
-    genesis = own.filter("prev is null").orderBy("__o", "hash").limit(1).select("hash")
-    heirs = own.filter("prev is not null and prev <> hash").groupBy("prev").agg(F.min("hash").alias("hash"))
-    linked = cut(heirs.select("hash", F.col("prev").alias("up"), F.lit(1).cast("bigint").alias("steps")).unionByName(genesis.select("hash", F.lit(None).cast("string").alias("up"), F.lit(0).cast("bigint").alias("steps"))))
-    for _ in range(64):
-        far = linked.select(F.col("hash").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"))
-        joined = linked.join(far, "up", "left")
-        fresh = cut(joined.select("hash", F.when(F.col("__steps").isNotNull(), F.col("__up")).otherwise(F.col("up")).alias("up"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps")))
-        same = fresh.join(linked.select("hash", F.col("up").alias("b")), "hash").filter("not (up <=> b)").isEmpty()
-        linked = fresh
-        if same:
-            break
-    placed = linked.filter("up is null").select("hash", F.col("steps").alias("place"))
-    return own.select("hash").distinct().join(placed, "hash", "left")
+    is_hex = F.col("hash").rlike(r"^([0-9a-f]{2})+\z")
+    packed, plain = F.when(is_hex, F.unhex("hash")), F.when(~is_hex, F.col("hash"))
+    genesis = own.filter("prev is null").orderBy("__o", "hash").limit(1).filter("hash is not null").select(F.expr("X''").alias("id"), _key(F.col("hash")).alias("next"), F.lit(0).cast("bigint").alias("steps"))
+    children = own.filter("prev is not null and prev <> hash").select(packed.alias("b"), plain.alias("t"), "__o", _key(F.col("prev")).alias("id")).repartition("id")
+    least = children.groupBy("id").agg(F.min(F.when(F.col("b").isNotNull(), F.struct("b", "__o"))).alias("b"), F.min(F.when(F.col("t").isNotNull(), F.struct("t", "__o"))).alias("t"))
+    text = F.lower(F.hex("b.b"))
+    is_text = F.col("b").isNull() | F.coalesce(F.col("t.t") < text, F.lit(False))
+    both = F.concat("id", _key(F.when(is_text, F.col("t.t")).otherwise(text)))
+    ordered = least.select(F.when(is_text, F.col("t.__o")).otherwise(F.col("b.__o")).alias("__o"), both.alias("both")).repartitionByRange("__o").sortWithinPartitions("__o")
+    links = ordered.select(F.substring("both", 1, KEY).alias("id"), F.substring("both", KEY + 1, KEY).alias("next"))
+    runs = cut(links.mapInArrow(_runs, "id binary, next binary, steps bigint, inside binary"))
+    places = cut(_places(runs.select("id", "next", "steps").unionByName(genesis), at_once))
+    last = places.orderBy(F.desc("place")).first()
+    if last is None or runs.filter(F.contains("inside", F.lit(last["id"]))).isEmpty():
+        within = runs.filter("steps > 1").join(places, "id").select("place", "inside").mapInArrow(_unfolded, "id binary, place bigint")
+        places = places.unionByName(within)
+    else:  # a hash with two predecessors is met inside a run: links are followed one by one
+        places = _places(cut(links.withColumn("steps", F.lit(1).cast("bigint"))).unionByName(genesis), at_once)
+    free(entries.sparkSession)
+    hashes = own.select(packed.alias("b"), plain.alias("t"), _key(F.col("hash")).alias("id")).repartition("id").groupBy("id").agg(*(f(c).alias(f"{k}_{c}") for c in "bt" for k, f in (("min", F.min), ("max", F.max))))
+    one = F.when(F.expr("min_b <> max_b or min_t <> max_t or (min_b is not null and min_t is not null)"), F.raise_error(F.lit("two hashes have the same key")).cast("string")).otherwise(F.coalesce("min_t", F.lower(F.hex("min_b"))))
+    return hashes.join(places.groupBy("id").agg(F.min("place").alias("place")), "id", "left").select(one.alias("hash"), "place")
 
 
 def chain_faults(entries: DataFrame) -> DataFrame:
