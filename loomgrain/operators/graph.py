@@ -291,8 +291,8 @@ def _coded(rows: pa.Table) -> tuple[pa.Array, list[int]]:
     return keys.dictionary, keys.indices.to_numpy()[rows.num_rows :].tolist()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links id → next joined where both lie among the same RUN_ROWS rows: id, next, steps, and the keys `inside` in a row."""
+def _runs(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[pa.RecordBatch]:
+    """Links id → next joined where both lie among the same rows_at_once or so: id, next, steps, and the keys `inside` in a row."""
 
     def joined(rows: pa.Table) -> pa.RecordBatch:
         keys, follow = _coded(rows)
@@ -316,7 +316,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) >= RUN_ROWS:
+        if sum(x.num_rows for x in held) >= rows_at_once:
             yield joined(pa.Table.from_batches(held))
             held = []
     if any(x.num_rows for x in held):
@@ -376,7 +376,7 @@ def _places(links: DataFrame, at_once: int) -> DataFrame:
     return known
 
 
-def walk_chain(entries: DataFrame, order: str, at_once: int = WALK_ROWS) -> DataFrame:
+def walk_chain(entries: DataFrame, order: str, at_once: int = WALK_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
     """hash, place of the entries that hang together from the genesis on; other entries have a null place.
 
     The genesis is the entry without predecessor of the least `order`; at a fork the child of the least hash
@@ -396,7 +396,7 @@ def walk_chain(entries: DataFrame, order: str, at_once: int = WALK_ROWS) -> Data
     both = F.concat("id", _key(F.when(is_text, F.col("t.t")).otherwise(text)))
     ordered = least.select(F.when(is_text, F.col("t.__o")).otherwise(F.col("b.__o")).alias("__o"), both.alias("both")).repartitionByRange("__o").sortWithinPartitions("__o")
     links = ordered.select(F.substring("both", 1, KEY).alias("id"), F.substring("both", KEY + 1, KEY).alias("next"))
-    runs = cut(links.mapInArrow(_runs, "id binary, next binary, steps bigint, inside binary"))
+    runs = cut(links.mapInArrow(lambda batches: _runs(batches, run_rows), "id binary, next binary, steps bigint, inside binary"))
     places = cut(_places(runs.select("id", "next", "steps").unionByName(genesis), at_once))
     last = places.orderBy(F.desc("place")).first()
     if last is None or runs.filter(F.contains("inside", F.lit(last["id"]))).isEmpty():
